@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lang_id, mixing, quality, secrets, token_counts, toxicity
+from . import chat, decontaminate, lang_id, mixing, ngram_join, quality, secrets, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -47,6 +47,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     classifier = toxicity.learn(docs, labels, "toxic", crc_mod("doc_id", 3) != 1)
@@ -54,5 +58,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, classifier).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_mixing, op6_secrets, op7_chat, op8_token_counts, op10_toxicity)}
-ORACLE_SQL = {"op2_decontamination": decontaminate.REPORT_SQL, "op4_mixing": mixing.REPORT_SQL, "op7_chat": chat.REPORT_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_mixing, op6_secrets, op7_chat, op8_token_counts, op9_ngram_join, op10_toxicity)}
+ORACLE_SQL = {"op2_decontamination": decontaminate.REPORT_SQL, "op4_mixing": mixing.REPORT_SQL, "op7_chat": chat.REPORT_SQL, "op9_ngram_join": ngram_join.REPORT_SQL}
