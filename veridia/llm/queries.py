@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lang_id, mixing, ngram_join, quality, secrets, token_counts, toxicity
+from . import chat, cover_tree, decontaminate, lang_id, mixing, ngram_join, quality, secrets, token_counts, toxicity
 from .common import crc_mod, table
 
 
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,5 +62,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, classifier).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_mixing, op6_secrets, op7_chat, op8_token_counts, op9_ngram_join, op10_toxicity)}
-ORACLE_SQL = {"op2_decontamination": decontaminate.REPORT_SQL, "op4_mixing": mixing.REPORT_SQL, "op7_chat": chat.REPORT_SQL, "op9_ngram_join": ngram_join.REPORT_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_mixing, op5_embedding_dedup, op6_secrets, op7_chat, op8_token_counts, op9_ngram_join, op10_toxicity)}
+ORACLE_SQL = {"op2_decontamination": decontaminate.REPORT_SQL, "op4_mixing": mixing.REPORT_SQL, "op5_embedding_dedup": cover_tree.REPORT_SQL, "op7_chat": chat.REPORT_SQL, "op9_ngram_join": ngram_join.REPORT_SQL}
