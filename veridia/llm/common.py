@@ -51,6 +51,11 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def with_row_number(df: DataFrame) -> DataFrame:
+    """df with rid, a number of the row: the same each time a table is read from the same files."""
+    return df.withColumn("rid", F.monotonically_increasing_id())
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of a column as text, modulo; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, with_row_number
 
 WINDOW = 10
 SHINGLE = 5
@@ -60,6 +60,7 @@ def matches(docs: DataFrame, windows: DataFrame, window: int = WINDOW, id_col: s
     sizes = {r["k"]: r["n"] for r in known.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
     if sum(sizes.values()) <= BROADCAST_SHINGLES:
         known = F.broadcast(known)
+    # the row number stands beside the words so that the optimizer can't copy their expression upwards, into the loop over shingles
     cut = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words_of(F.col(text_col).cast("string")).alias("words"))
     cut = cut.select("rid", "id", "words", F.size("words").alias("n"))
     head = F.array(F.lit(None).cast("bigint"))
@@ -83,7 +84,7 @@ def matches(docs: DataFrame, windows: DataFrame, window: int = WINDOW, id_col: s
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For each row of docs: id_col, n_words, n_hit, items (sorted ids of the items with occurring
+    """For each row of docs: rid (with_row_number), id_col, n_words, n_hit, items (sorted ids of the items with occurring
     windows), spans (merged runs of hit words: from, to), contaminated."""
     windows = windows_of(items, window, shingle, item_col, item_text)
     m = matches(docs, windows, window, id_col, text_col)
@@ -108,10 +109,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         lambda s, x: F.struct((s["hit"] + F.greatest(F.lit(0), x["to"] - F.greatest(x["from"], s["last"]))).cast("bigint").alias("hit"), F.greatest(x["to"], s["last"]).alias("last")),
         lambda s: s["hit"],
     )
-    out = by_doc.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_words"), covered.alias("n_hit"), F.sort_array("items").alias("items"), F.sort_array("spans").alias("spans"))
+    out = by_doc.select("rid", F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_words"), covered.alias("n_hit"), F.sort_array("items").alias("items"), F.sort_array("spans").alias("spans"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """docs without the rows that have a word of a window; other rows and all columns stay."""
+    hit = materialise(contamination(docs, items, **how).where("contaminated").select("rid"), "contaminated")
+    return with_row_number(docs).join(hit, "rid", "left_anti").drop("rid")
+
+
 def report(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The digest of `contamination`: items as their number and the sha256 of their ids."""
     found = contamination(docs, items, **how)

@@ -30,6 +30,8 @@ SWITCH_PENALTY = 12.0
 TRAIN_ROWS_A_LANGUAGE = 4000
 #: Languages that can be learned at once: the model is BUCKETS numbers for each.
 MAX_LANGUAGES = 500
+#: Texts in which no language holds so much of the letters are rejected as filters go.
+LEAST_SHARE = 0.4
 #: A language uses a script if at least this share of its letters is written in it.
 SCRIPT_SHARE = 0.01
 #: First code points of ranges and the script from there on (fixed values).
@@ -207,6 +209,20 @@ def label_texts(texts: list[str | None], model: Model, penalty: float = SWITCH_P
     return out
 
 
+def accepted(docs: DataFrame, model: Model, least: float = LEAST_SHARE, penalty: float = SWITCH_PENALTY, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text has no letter or no language that holds `least` of its letters."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.langs, model.log_p, model.allowed))
+
+    def keep(batches):
+        model = Model(*shipped.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            found = [x for a, b in slices(texts, 16 << 20) for x in label_texts(texts[a:b], model, penalty)]
+            yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' columns id_col plus lang_pred, score and spans (array of from, to, lang)."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialise, mix64, remove, slices, uniform
+from .common import hash_words, materialise, mix64, remove, slices, uniform, with_row_number
 from .components import connected_components
 
 WORDS = 5
@@ -557,12 +557,12 @@ def _opened(batches):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row of docs: rid (a number of the row), id_col, n_shingles, component_id (the
+    """For each row of docs: rid (with_row_number), id_col, n_shingles, component_id (the
     smallest id reachable by links), materialised up to the last joins."""
     spark = docs.sparkSession
     buckets = max(512, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     doc_kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    texts = with_row_number(docs).select("rid", F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     # shingles that are common in a bounded sample only steer the choice of groups
     n_docs = docs.select(id_col).count()
@@ -621,6 +621,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("rid", F.col("doc").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that with the smallest id, the first of its rows. Rows that
+    link with nothing, empty ones too, all stay unless they repeat an id and set."""
+    found = near_duplicates(docs, id_col, text_col)
+    alone = found.where("n_shingles = 0").select("rid")
+    best = found.where((F.col("n_shingles") > 0) & F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("rid").alias("rid"))
+    keep = materialise(alone.union(best.select("rid")), "kept")
+    return with_row_number(docs).join(keep, "rid", "left_semi").drop("rid")
+
+
 def report(docs: DataFrame, **how) -> DataFrame:
     return near_duplicates(docs, **how).select("doc_id", "n_shingles", "component_id")
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import materialise, new_path, with_row_number
 
 _HEX = bytes(120 if chr(i) in "0123456789abcdef" else 0 for i in range(256))
 
@@ -131,29 +131,28 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
 def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span that a rule finds replaced by `mask`; all rows and columns stay.
 
-    The ledger can say for each blob whether there is anything to mask, but the texts themselves need
-    not move for that: masking is a function of the text, applied where the row is."""
-    kind = docs.schema
+    The findings come from the ledger; only rows that have some are joined back."""
+    numbered = with_row_number(docs)
+    found = scan(numbered, ledger, rules, version, "rid", text_col).where(F.size("findings") > 0).select("rid", "findings")
+    found = materialise(found, "findings")
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def clean(batches):
         for batch in batches:
-            k = batch.schema.get_field_index(text_col)
             out = []
-            for x in batch.column(k).to_pylist():
-                spans = find(x, rules) if x else []
+            for x, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if spans:
-                    parts, at = [], 0
-                    for _, a, b in spans:
-                        if a >= at:
-                            parts += [x[at:a], mask]
-                        elif b > at and not parts:
-                            parts.append(mask)
-                        at = max(at, b)
-                    x = "".join(parts) + x[at:]
+                    parts, end = [], 0
+                    for s in spans:
+                        if s["start"] >= end:
+                            parts += [x[end : s["start"]], mask]
+                        end = max(end, s["end"])
+                    x = "".join(parts) + x[end:]
                 out.append(x)
-            yield batch.set_column(k, batch.schema.field(k), pa.array(out, batch.schema.field(k).type))
+            columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(clean, kind)
+    return numbered.join(found, "rid", "left").select(*names, "findings").mapInArrow(clean, docs.schema)
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
