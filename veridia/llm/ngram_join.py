@@ -50,6 +50,8 @@ COMMON, MOST_COMMON = 32, 1_000_000
 LONG_LIST = 64
 LOCAL_LEADERS = 8
 BLOCK = 512
+#: Components of so many nodes have blocks of their own.
+OWN_BLOCKS = 64
 
 _K = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1) for j in range(WORDS)]
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -474,56 +476,79 @@ def _listed(batches):
         yield from finish(held)
 
 
-def _asked(batches):
-    """Rows (token, rid, component, size) sorted by token: each node of a smaller component asks each larger one in the list."""
+def _neighbours(batches):
+    """Rows (token, big, part, chunk), each once, sorted by token: pairs of blocks that have a token in common."""
 
-    def finish(rows, total):
-        parts = sorted({(s, c) for _, c, s in rows})
-        if len(parts) > 1:
-            rank = {c: i for i, (_, c) in enumerate(parts)}
-            for rid, c, _ in rows:
-                for _, other in parts[rank[c] + 1 :]:
-                    total[rid, other] = total.get((rid, other), 0) + 1
+    def finish(blocks, total):
+        blocks = sorted(blocks)
+        for i, x in enumerate(blocks):
+            for y in blocks[i:]:
+                if not (x[0] and x[:2] == y[:2]):  # blocks of one component have nothing to ask each other
+                    total.add((*x, *y))
 
     def batch_of(total):
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int64()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["rid", "part", "shared"])
+        rows = list(total)
+        kinds = [pa.bool_(), pa.int64(), pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["big", "part", "chunk", "to_big", "to_part", "to_chunk"])
 
-    at, held, total = None, [], {}
+    at, held, total = None, [], set()
     for batch in batches:
-        for token, *row in zip(*(c.to_pylist() for c in batch.columns)):
+        for token, *block in zip(*(c.to_pylist() for c in batch.columns)):
             if token != at and held:
                 finish(held, total)
                 held = []
-                if len(total) > 500_000:
+                if len(total) > 200_000:
                     yield batch_of(total)
-                    total = {}
+                    total = set()
             at = token
-            held.append(tuple(row))
+            held.append(tuple(block))
     if held:
         finish(held, total)
     if total:
         yield batch_of(total)
 
 
-def _opened(batches):
-    """Blocks (part, chunk) sorted, members (role 0) before queries: links of queries to members."""
-
-    class Block:
-        def __init__(self, members):
-            sets = unpack([p for _, p in members])
-            self.rid = np.array([r for r, _ in members], dtype=np.int64)
-            self.size = np.array([len(s) for s in sets])
-            self.token = np.concatenate(sets)
-            self.owner = np.repeat(np.arange(len(sets)), self.size)
-            self.union = np.unique(self.token)
-
-        def link(self, q: np.ndarray) -> int | None:
-            if overlap(q, self.union) < needed(len(q)):
-                return None
-            common = np.bincount(self.owner[member_of(self.token, q)], minlength=len(self.size))
-            good = np.flatnonzero(DEN * common >= NUM * (len(q) + self.size - common))
-            return int(self.rid[good[0]]) if len(good) else None
+class Block:
+    """Members (id, component, packed text): their tokens in one sorted array, and its union."""
+
+    def __init__(self, members):
+        sets = unpack([m[2] for m in members])
+        self.rid = np.array([m[0] for m in members], dtype=np.int64)
+        self.part = np.array([m[1] for m in members], dtype=np.int64)
+        self.size = np.array([len(s) for s in sets])
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(token, kind="stable")
+        self.token, self.owner = token[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], self.token[1:] != self.token[:-1]]))
+        self.union, self.start, self.end = self.token[first], first, np.append(first[1:], len(token))
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while self.up.get(x, x) != x:
+            x = self.up[x]
+        return x
+
+    def links(self, rid: int, part: int, q: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a query that join components."""
+        k = np.searchsorted(self.union, q)
+        k = k[self.union[np.minimum(k, len(self.union) - 1)] == q]
+        if len(k) < needed(len(q)):
+            return []
+        count = self.end[k] - self.start[k]
+        at = np.repeat(self.start[k] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.size))
+        good = (DEN * common >= NUM * (len(q) + self.size - common)) & (self.part != part)
+        out = []
+        for i in np.flatnonzero(good):
+            a, b = self.find(part), self.find(int(self.part[i]))
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                out.append((rid, int(self.rid[i])))
+        return out
+
 
+def _opened(batches):
+    """Rows by block, members (role 0) before queries: links between components."""
     at, members, queries, block = None, [], [], None
 
     def answer():
@@ -532,28 +557,25 @@ def _opened(batches):
             block, members = Block(members), []
         found = []
         if block is not None and queries:
-            for (rid, _), q in zip(queries, unpack([p for _, p in queries])):
-                to = block.link(q)
-                if to is not None:
-                    found.append((rid, to))
+            for (rid, part, _), q in zip(queries, unpack([x[2] for x in queries])):
+                found += block.links(rid, part, q)
         queries = []
         return found
 
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["u", "v"])
+
     for batch in batches:
         out = []
-        for part, chunk, role, rid, packed in zip(*(c.to_pylist() for c in batch.columns)):
-            if (part, chunk) != at:
+        for big, part, chunk, role, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (big, part, chunk) != at:
                 out += answer()
-                at, members, block = (part, chunk), [], None
-            if role == 0:
-                members.append((rid, packed))
-            else:
-                queries.append((rid, packed))
-                if len(queries) >= 256:
-                    out += answer()
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["u", "v"])
-    out = answer()
-    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["u", "v"])
+                at, members, block = (big, part, chunk), [], None
+            (members if role == 0 else queries).append(tuple(row))
+            if len(queries) >= 256:
+                out += answer()
+        yield batch_of(out)
+    yield batch_of(answer())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -584,29 +606,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         right = parts.select(F.col("node").alias(rid), F.col("component").alias(name))
         return df.join(right, rid, "left").withColumn(name, F.coalesce(name, rid))
 
+    # Rare tokens: pairs of nodes. A pair that shares a token of a long list is met below, so here LEAST rare ones are needed.
     pairs = lists.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= LEAST)
-    pairs = part_of(part_of(pairs, "a", "part_a"), "b", "part_b").where("part_a != part_b").select("a", "b")
+    pairs = part_of(part_of(pairs, "a", "part_a"), "b", "part_b").where("part_a != part_b").select("a", "b", "part_a", "part_b")
     pairs = materialise(pairs, "pairs")
+
+    # Tokens of long lists: their nodes are stacked in blocks, those of a large component by themselves,
+    # the others with nodes that have the same tokens (the label is the smallest token two steps away).
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    hot = part_of(lists.where("b is null").select(F.col("a").alias("rid"), "token"), "rid", "component")
-    hot = hot.join(sizes, "component", "left").select("token", "rid", "component", F.coalesce("size", F.lit(1)).alias("size"))
-    asked = hot.repartition("token").sortWithinPartitions("token").mapInArrow(_asked, "rid bigint, part bigint, shared bigint")
-    asked = materialise(asked.groupBy("rid", "part").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= LEAST).select("rid", "part"), "asked")
-
-    chunks = F.greatest(F.lit(1), F.ceil(F.coalesce("size", F.lit(1)) / BLOCK)).cast("int")
-    wanted = asked.select("part").distinct().join(sizes.withColumnRenamed("component", "part"), "part", "left").select("part", chunks.alias("chunks"))
-    members = wanted.join(parts.select(F.col("component").alias("part"), F.col("node").alias("rid")), "part", "left")
-    members = members.select("part", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"), F.coalesce("rid", "part").alias("rid"))
-    queries = asked.join(wanted, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "rid")
-    rows = members.unionByName(queries)
-    rows = rows.unionByName(pairs.select(F.col("a").alias("part"), F.lit(-1).alias("chunk"), F.lit(0).alias("role"), F.col("a").alias("rid")).distinct())
-    rows = rows.unionByName(pairs.select(F.col("a").alias("part"), F.lit(-1).alias("chunk"), F.lit(1).alias("role"), F.col("b").alias("rid")))
-    open_ = rows.join(able.select("rid", "packed"), "rid").select("part", "chunk", "role", "rid", "packed")
-    more = open_.repartition("part", "chunk").sortWithinPartitions("part", "chunk", "role").mapInArrow(_opened, "u bigint, v bigint")
+    hot = lists.where("b is null").select(F.col("a").alias("rid"), "token")
+    near = hot.groupBy("rid").agg(F.min("token").alias("label"))
+    for _ in range(2):
+        of_token = hot.join(near, "rid").groupBy("token").agg(F.min("label").alias("label"))
+        near = hot.join(of_token, "token").groupBy("rid").agg(F.min("label").alias("label"))
+    near = part_of(near, "rid", "component").join(sizes, "component", "left")
+    near = near.withColumn("big", F.coalesce(F.col("size") >= OWN_BLOCKS, F.lit(False)))
+    near = near.withColumn("part", F.when(F.col("big"), F.col("component")).otherwise(F.col("label"))).select("rid", "component", "big", "part")
+    chunks = near.groupBy("big", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    near = near.join(chunks, ["big", "part"]).withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+    near = materialise(near.select("rid", "component", "big", "part", "chunk"), "blocks")
+    having = hot.join(near, "rid").select("token", "big", "part", "chunk").distinct()
+    ask = "big boolean, part bigint, chunk int, to_big boolean, to_part bigint, to_chunk int"
+    asked = having.repartition("token").sortWithinPartitions("token").mapInArrow(_neighbours, ask).distinct()
+    queries = near.join(asked, ["big", "part", "chunk"]).select(F.col("to_big").alias("big"), F.col("to_part").alias("part"), F.col("to_chunk").alias("chunk"), F.lit(1).alias("role"), "rid", "component")
+    rows = near.where("not big").select("big", "part", "chunk", F.lit(0).alias("role"), "rid", "component").unionByName(queries)
+    rows = rows.unionByName(near.where("big").select("big", "part", "chunk", F.lit(0).alias("role"), "rid", "component"))
+    for rid, part, role in (("a", "part_a", 0), ("b", "part_b", 1)):
+        each = pairs.select(F.lit(None).cast("boolean").alias("big"), F.col("a").alias("part"), F.lit(-1).alias("chunk"), F.lit(role).alias("role"), F.col(rid).alias("rid"), F.col(part).alias("component"))
+        rows = rows.unionByName(each.distinct() if role == 0 else each)
+    open_ = rows.join(able.select("rid", "packed"), "rid").select("big", "part", "chunk", "role", "rid", "component", "packed")
+    more = open_.repartition("big", "part", "chunk").sortWithinPartitions("big", "part", "chunk", "role").mapInArrow(_opened, "u bigint, v bigint")
     # whole components: the parts found first, and the links between them
     more = more.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
     whole = connected_components(more)
-    for t in (lists, pairs, asked):
+    for t in (lists, pairs, near):
         remove(t)
 
     rows = table.where(F.col("kind") == DOC)
