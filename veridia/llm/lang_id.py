@@ -28,6 +28,8 @@ BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0
 #: At most about so many labelled rows of each language are learned from; a documented bound.
 TRAIN_ROWS_A_LANGUAGE = 4000
+#: Characters whose letter windows, and whose words, are worked on at once.
+PART, TOGETHER = 1 << 18, 6 << 20
 #: Languages that can be learned at once: the model is BUCKETS numbers for each.
 MAX_LANGUAGES = 500
 #: Texts in which no language holds so much of the letters are rejected as filters go.
@@ -182,13 +184,17 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
 def label_texts(texts: list[str | None], model: Model, penalty: float = SWITCH_PENALTY) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """For each text its language, score and spans (from, to, language; code points)."""
-    parts = [find_words(texts[a:b]) for a, b in slices(texts)]
-    scores = np.concatenate([model.scores(w) for w in parts]) if parts else np.zeros((0, len(model.langs)))
-    first = np.concatenate([w.first for w in parts]) if parts else np.zeros(0, int)
-    last = np.concatenate([w.last for w in parts]) if parts else np.zeros(0, int)
-    base = np.cumsum([0, *(len(w.first) for w in parts)])
-    at = np.concatenate([*(w.at[:-1] + b for w, b in zip(parts, base)), base[-1:]]).astype(np.int64)
-    offset = np.concatenate([w.offset[:-1] for w in parts]) if parts else np.zeros(0, int)
+    scores, first, last, starts, offset, base = [np.zeros((0, len(model.langs)), np.float32)], [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)], 0
+    for a, b in slices(texts, PART):  # the buffers of a part, many bytes for each character, go before the next one's come
+        w = find_words(texts[a:b])
+        scores.append(model.scores(w))
+        first.append(w.first)
+        last.append(w.last)
+        starts.append(w.at[:-1] + base)
+        offset.append(w.offset[:-1])
+        base += len(w.first)
+    scores, first, last, offset = np.concatenate(scores), np.concatenate(first), np.concatenate(last), np.concatenate(offset)
+    at = np.concatenate([*starts, [base]]).astype(np.int64)
     if not model.langs or not len(first):
         return [(UNKNOWN, 0.0, [])] * len(texts)
     label = viterbi(scores, at, penalty)
@@ -217,7 +223,7 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST_SHARE, penalty:
         model = Model(*shipped.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            found = [x for a, b in slices(texts, 16 << 20) for x in label_texts(texts[a:b], model, penalty)]
+            found = [x for a, b in slices(texts, TOGETHER) for x in label_texts(texts[a:b], model, penalty)]
             yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s, _ in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
@@ -233,7 +239,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, id_
         model = Model(*shipped.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [x for a, b in slices(texts, 16 << 20) for x in label_texts(texts[a:b], model, penalty)]
+            found = [x for a, b in slices(texts, TOGETHER) for x in label_texts(texts[a:b], model, penalty)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([[{"from": a, "to": b, "lang": k} for a, b, k in x[2]] for x in found], pa.list_(span))],
                 names=["id", "lang_pred", "score", "spans"],
