@@ -44,6 +44,7 @@ class KnowledgeBase:
         self._programs: dict[Concept | None, Program] = {}
         self._told: tuple | None = None
         self._horns: dict[Concept | None, Horn] = {}
+        self._refuted: dict[Concept, DataFrame | None] = {}
 
     def tell(self, axioms: Axioms) -> KnowledgeBase:
         """Adds axioms and facts to what was told before; everything is compiled together."""
@@ -142,7 +143,9 @@ class KnowledgeBase:
         found = horn.facts(goal)
         rules = program.open_rules(goal, horn.possible, set(horn.roles.stored))
         if rules and not program.horn_for(goal, rules):
-            more, broken = refute(goal, rules, horn)
+            if c not in self._refuted:
+                self._refuted[c] = refute(goal, rules, horn)[0]
+            more = self._refuted[c]
             if more is not None:
                 found = more if found is None else found.union(more)
         return found.distinct() if found is not None else self.spark.createDataFrame([], "ind string")

@@ -36,9 +36,8 @@ from .access import retrieval, validate
 
 log = logging.getLogger(__name__)
 
-#: Name spaces of requests; the vocabulary that binds names to a database.
+#: Name spaces of requests.
 NAMESPACES = ("http://dl.kr.org/dig/lang", "http://dl.kr.org/dig/2003/02/lang")
-DB = "http://www.cs.bme.hu/dlogDB#"
 UNSUPPORTED_CONCEPTS = {"iset", "defined", "stringmin", "stringmax", "stringequals", "stringrange", "intmin", "intmax", "intequals", "intrange"}
 UNSUPPORTED_AXIOMS = {"rangeint", "rangestring", "defattribute", "value"}
 
@@ -89,8 +88,10 @@ def read_concept(e: ET.Element) -> Concept:
 
 
 class _Tells:
-    def __init__(self, request: Request, on_unsupported: str):
-        self.r, self.how = request, on_unsupported
+    """database: the prefix of the names (has...Query, hasConnection, ...) that bind the ontology to a database."""
+
+    def __init__(self, request: Request, database: str | None):
+        self.r, self.prefix = request, database
         self.db: dict[str, dict[str, str]] = {}
         self.of: dict[str, tuple[str, int]] = {}
         self.connection: dict[str, str] = {}
@@ -141,19 +142,21 @@ class _Tells:
 
     def _database(self, kind: str, e: ET.Element, parts: list[ET.Element]) -> bool:
         """Takes up what the database vocabulary says."""
+        if not self.prefix:
+            return False
         names = [x.get("name", "") for x in parts]
         if kind in ("defattribute", "defrole", "defindividual", "rangestring", "functional"):
-            return (e.get("name") or (names[0] if names else "")).startswith(DB)
-        if not names or not names[0].startswith(DB):
+            return (e.get("name") or (names[0] if names else "")).startswith(self.prefix)
+        if not names or not names[0].startswith(self.prefix):
             return False
         if kind == "value":
-            self.db.setdefault(names[0], {})[names[1].removeprefix(DB)] = (parts[2].text or "").strip()
+            self.db.setdefault(names[0], {})[names[1].removeprefix(self.prefix)] = (parts[2].text or "").strip()
         elif kind == "instanceof":
             if _tag(parts[1]) == "catom":
                 self.of[names[0]] = (parts[1].get("name"), 1)
         elif kind == "related":
-            if names[1] == f"{DB}hasConnection":
-                self.connection[names[0]] = names[2].removeprefix(DB)
+            if names[1] == f"{self.prefix}hasConnection":
+                self.connection[names[0]] = names[2].removeprefix(self.prefix)
             else:
                 self.of[names[0]] = (names[1], 2)
         else:
@@ -202,8 +205,8 @@ def _ask(e: ET.Element) -> tuple[str, str, tuple]:
     return e.get("id", ""), kind, args
 
 
-def parse(text: str | bytes, on_unsupported: str = "raise") -> Request:
-    """on_unsupported: "raise" or "drop" (the axiom is skipped and listed)."""
+def parse(text: str | bytes, on_unsupported: str = "raise", database: str | None = None) -> Request:
+    """on_unsupported: "raise" or "drop" (the axiom is skipped and listed). database: the name prefix of the database vocabulary."""
     try:
         root = ET.fromstring(text)
     except ET.ParseError as error:
@@ -213,7 +216,7 @@ def parse(text: str | bytes, on_unsupported: str = "raise") -> Request:
         raise DLError(f"unknown request {kind}", 101)
     out = Request(kind, root.get("uri"))
     if kind == "tells":
-        tells = _Tells(out, on_unsupported)
+        tells = _Tells(out, database)
         for e in root:
             try:
                 tells.axiom(e)
@@ -231,9 +234,9 @@ def parse(text: str | bytes, on_unsupported: str = "raise") -> Request:
     return out
 
 
-def read_tells(path: str, on_unsupported: str = "raise") -> Request:
+def read_tells(path: str, on_unsupported: str = "raise", database: str | None = None) -> Request:
     with open(path, "rb") as f:
-        return parse(f.read(), on_unsupported)
+        return parse(f.read(), on_unsupported, database)
 
 
 def counters(text: str | bytes) -> dict[str, int]:
@@ -312,10 +315,10 @@ def _answer(kb, ident: str, kind: str, args: tuple) -> ET.Element:
     return names("roleSet", "ratom", (n for n, inverted in getattr(kb, method)(*args) if not inverted))
 
 
-def execute(kb, text: str | bytes, on_unsupported: str = "raise") -> str:
+def execute(kb, text: str | bytes, on_unsupported: str = "raise", database: str | None = None) -> str:
     """Runs one request on a knowledge base and gives the answer document."""
     try:
-        r = parse(text, on_unsupported)
+        r = parse(text, on_unsupported, database)
         if r.kind == "asks":
             out = ET.Element("responses")
             for ident, kind, args in r.asks:
