@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridia.storage import materialise, new_path, remove, shared_dir  # noqa: F401  what the operators take from here
+
 #: Words of ``[^\x20\x09-\x0D]+``; bytes.split() splits on the same six characters.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -17,40 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one of our own only
-    where that is unset, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="veridia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def with_row_number(df: DataFrame) -> DataFrame:
     """df with rid, a number of the row: the same each time a table is read from the same files."""
     return df.withColumn("rid", F.monotonically_increasing_id())
@@ -67,7 +35,23 @@ def uniform(*columns: str):
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
-def slices(texts: list, most: int = 2 << 20):
+def lean(run):
+    """Of a function for mapInArrow the same function, which gives freed memory back to the system at
+    its end: workers are used again by later tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
+def slices(texts: list, most: int = 1 << 19):
     """(from, to) of runs of texts of about `most` bytes; a longer text is a run of its own."""
     start = size = 0
     for i, x in enumerate(texts):

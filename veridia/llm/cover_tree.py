@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .components import connected_components
+from veridia.operators.components import connected_components
+
+from .common import lean, materialise
 
 THRESHOLD = 0.93
 BLOCK = 2048
@@ -255,7 +256,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     """For each row: id_col, n_links, component_id, kept."""
     id_kind, label_kind = (vectors.schema[c].dataType.simpleString() for c in (id_col, label_col))
     source = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    packed = materialise(source.mapInArrow(_pack, f"id {id_kind}, label {label_kind}, vec binary"), "vectors")
+    packed = materialise(source.mapInArrow(lean(_pack), f"id {id_kind}, label {label_kind}, vec binary"), "vectors")
     able = packed.where("vec is not null and label is not null")
     classes = able.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("rid"), "id", "label", (F.length("vec") / 8).cast("int").alias("dim"), "vec", "n"), "classes")
@@ -271,14 +272,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     joined = F.aggregate("all", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["vec"]))
     pivots = materialise(pivots.select("label", "dim", F.size("all").alias("n_pivots"), joined.alias("pivots")), "pivots")
     placed = classes.select("rid", "label", "dim", "vec", "n").join(pivots.select("label", "dim", "pivots"), ["label", "dim"])
-    placed = materialise(placed.mapInArrow(_nearest, f"rid bigint, label {label_kind}, dim int, vec binary, n bigint, cell int, far double"), "cells")
+    placed = materialise(placed.mapInArrow(lean(_nearest), f"rid bigint, label {label_kind}, dim int, vec binary, n bigint, cell int, far double"), "cells")
 
     cells = placed.groupBy("label", "dim", "cell").agg(F.max("far").alias("far"), F.count("*").alias("size"))
     blocks = cells.select("label", "dim", "cell", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     pairs = cells.join(pivots, ["label", "dim"]).groupBy("label", "dim").applyInArrow(_cell_pairs(threshold, block), f"label {label_kind}, dim int, cell int, block int, pair string, side int")
     dealt = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     met = dealt.join(pairs, ["label", "dim", "cell", "block"]).select("label", "dim", "pair", "side", "rid", "n", "vec")
-    found = met.repartition("label", "dim", "pair").sortWithinPartitions("label", "dim", "pair", "side").mapInArrow(_linked(threshold), "rid bigint, links bigint, other bigint")
+    found = met.repartition("label", "dim", "pair").sortWithinPartitions("label", "dim", "pair", "side").mapInArrow(lean(_linked(threshold)), "rid bigint, links bigint, other bigint")
     found = materialise(found, "links")
     links = found.where("links is not null").groupBy("rid").agg(F.sum("links").alias("links"))
     whole = connected_components(found.where("other is not null").select(F.col("rid").alias("u"), F.col("other").alias("v")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, uniform
+from .common import lean, slices, uniform
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -173,7 +173,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     total = np.zeros(len(langs) * width, dtype=np.float64)
     # at most languages x (BUCKETS + scripts) rows come back, however many documents there are
-    found = sample.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(lean(count), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     total[found["slot"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
     total = total.reshape(len(langs), width)
     windows, scripts = total[:, :BUCKETS], total[:, BUCKETS:]
@@ -226,7 +226,7 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST_SHARE, penalty:
             found = [x for a, b in slices(texts, TOGETHER) for x in label_texts(texts[a:b], model, penalty)]
             yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,4 +246,4 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, id_
             )
 
     schema = f"id {kind}, lang_pred string, score double, spans array<struct<from:bigint,to:bigint,lang:string>>"
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(label, schema).withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(lean(label), schema).withColumnRenamed("id", id_col)

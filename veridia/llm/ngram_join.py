@@ -33,8 +33,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialise, mix64, remove, slices, uniform, with_row_number
-from .components import connected_components
+from veridia.operators.components import connected_components
+
+from .common import hash_words, lean, materialise, mix64, remove, slices, uniform, with_row_number
 
 WORDS = 5
 #: Similarity as a fraction: NUM / DEN.
@@ -221,7 +222,7 @@ def _whole_sets(batch):
 
 def _prefix_ends(batch):
     """Rather more of each set's smallest tokens than its prefix will have."""
-    for x in unpack(batch.column(0).to_pylist()):
+    for x in unpack_each(batch.column(0).to_pylist()):
         yield x[: (3 * (len(x) - needed(len(x)) + LEAST) + 1) // 2]
 
 
@@ -260,7 +261,7 @@ def _first(steer):
                         new[k].append(v)
                 if new["rid"]:
                     yield _batch({"kind": [NODE] * len(new["rid"]), **new}, doc_type)
-                if held > 6_000_000:  # bounds the memory; what is forgotten meets in the next step
+                if held > 4_000_000:  # bounds the memory; what is forgotten meets in the next step
                     leaders, seen, held = {}, set(), 0
 
     return run
@@ -275,9 +276,14 @@ class Node:
     packed: bytes
 
 
-def unpack(packed: list[bytes]) -> list[np.ndarray]:
+def unpack_each(packed: list[bytes]):
     grow = zstandard.ZstdDecompressor()
-    return [s for a, b in slices(packed, 1 << 20) for s in shingle_sets([grow.decompress(x) for x in packed[a:b]])]
+    for a, b in slices(packed, 1 << 18):
+        yield from shingle_sets([grow.decompress(x) for x in packed[a:b]])
+
+
+def unpack(packed: list[bytes]) -> list[np.ndarray]:
+    return list(unpack_each(packed))
 
 
 def _grouped(batches):
@@ -366,7 +372,7 @@ def _wide(x: bytes) -> np.ndarray:
 
 
 def _count_tokens(buckets: int, pick, batches):
-    """Packed counts of the tokens that pick(sets) gives, for each partition (or each 8 million of them)."""
+    """Packed counts of the tokens that pick(sets) gives, for each partition (or each 2 million of them)."""
 
     def flush(tokens):
         value, count = np.unique(np.concatenate(tokens) & _LOW40, return_counts=True)
@@ -382,7 +388,7 @@ def _count_tokens(buckets: int, pick, batches):
         for x in pick(batch):
             held.append(x)
             size += len(x)
-            if size > 8_000_000:
+            if size > 2_000_000:
                 yield flush(held)
                 held, size = [], 0
     if size:
@@ -391,8 +397,8 @@ def _count_tokens(buckets: int, pick, batches):
 
 def _common_tokens(df: DataFrame, pick, least: int, buckets: int) -> np.ndarray:
     """Low 40 bits of the tokens that more than `least` of the picked sets have, the MOST_COMMON commonest at most (a fixed bound), sorted."""
-    blocks = df.mapInArrow(lambda it: _count_tokens(buckets, pick, it), "bucket int, ones binary, many binary, counts binary")
-    found = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(least), "token bigint, n bigint")
+    blocks = df.mapInArrow(lean(lambda it: _count_tokens(buckets, pick, it)), "bucket int, ones binary, many binary, counts binary")
+    found = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_counted(least)), "token bigint, n bigint")
     top = found.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toPandas()
     return np.sort(top["token"].to_numpy(dtype=np.int64).astype(np.uint64))
 
@@ -421,11 +427,11 @@ def _postings(shipped, buckets: int):
         late, held, size = shipped.value, [], 0
         for batch in batches:
             rid, n, key, packed = (c.to_pylist() for c in batch.columns)
-            for i, x in enumerate(unpack(packed)):
+            for i, x in enumerate(unpack_each(packed)):
                 p = prefix(x, late)
                 held.append((p, rid[i], n[i], key[i]))
                 size += len(p)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -591,16 +597,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sample = docs.where(uniform(id_col) < min(1.0, SAMPLE_DOCS / max(1, n_docs))).select(F.col(text_col).cast("string").alias("text"))
     steer = spark.sparkContext.broadcast(_common_tokens(sample, _whole_sets, SAMPLE_COMMON, 64))
     schema = f"kind tinyint, key bigint, rid bigint, doc {doc_kind}, n int, d1 bigint, d2 bigint, other bigint, packed binary"
-    first = texts.mapInArrow(_first(steer), schema)
-    table = materialise(first.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_grouped, schema), "groups")
+    first = texts.mapInArrow(lean(_first(steer)), schema)
+    table = materialise(first.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(lean(_grouped), schema), "groups")
     nodes, links = table.where(F.col("kind") == NODE), table.where(F.col("kind") == LINK).select(F.col("rid").alias("u"), F.col("other").alias("v"))
     parts = connected_components(links)
 
     able = nodes.where(F.col("n") >= SMALLEST)
 
     common = spark.sparkContext.broadcast(_common_tokens(able.select("packed"), _prefix_ends, COMMON, buckets))  # MOST_COMMON numbers at most
-    posted = able.select("rid", "n", "key", "packed").mapInArrow(_postings(common, buckets), "bucket int, token binary, owner binary, rid binary, n binary, key binary")
-    lists = materialise(posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_listed, "a bigint, b bigint, shared bigint, token bigint"), "lists")
+    posted = able.select("rid", "n", "key", "packed").mapInArrow(lean(_postings(common, buckets)), "bucket int, token binary, owner binary, rid binary, n binary, key binary")
+    lists = materialise(posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_listed), "a bigint, b bigint, shared bigint, token bigint"), "lists")
 
     def part_of(df: DataFrame, rid: str, name: str) -> DataFrame:
         right = parts.select(F.col("node").alias(rid), F.col("component").alias(name))
@@ -627,7 +633,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = materialise(near.select("rid", "component", "big", "part", "chunk"), "blocks")
     having = hot.join(near, "rid").select("token", "big", "part", "chunk").distinct()
     ask = "big boolean, part bigint, chunk int, to_big boolean, to_part bigint, to_chunk int"
-    asked = having.repartition("token").sortWithinPartitions("token").mapInArrow(_neighbours, ask).distinct()
+    asked = having.repartition("token").sortWithinPartitions("token").mapInArrow(lean(_neighbours), ask).distinct()
     queries = near.join(asked, ["big", "part", "chunk"]).select(F.col("to_big").alias("big"), F.col("to_part").alias("part"), F.col("to_chunk").alias("chunk"), F.lit(1).alias("role"), "rid", "component")
     rows = near.where("not big").select("big", "part", "chunk", F.lit(0).alias("role"), "rid", "component").unionByName(queries)
     rows = rows.unionByName(near.where("big").select("big", "part", "chunk", F.lit(0).alias("role"), "rid", "component"))
@@ -635,7 +641,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         each = pairs.select(F.lit(None).cast("boolean").alias("big"), F.col("a").alias("part"), F.lit(-1).alias("chunk"), F.lit(role).alias("role"), F.col(rid).alias("rid"), F.col(part).alias("component"))
         rows = rows.unionByName(each.distinct() if role == 0 else each)
     open_ = rows.join(able.select("rid", "packed"), "rid").select("big", "part", "chunk", "role", "rid", "component", "packed")
-    more = open_.repartition("big", "part", "chunk").sortWithinPartitions("big", "part", "chunk", "role").mapInArrow(_opened, "u bigint, v bigint")
+    more = open_.repartition("big", "part", "chunk").sortWithinPartitions("big", "part", "chunk", "role").mapInArrow(lean(_opened), "u bigint, v bigint")
     # whole components: the parts found first, and the links between them
     more = more.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
     whole = connected_components(more)

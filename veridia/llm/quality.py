@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import lean, uniform
 
 #: At most about so many labelled rows are learned from; a documented bound.
 TRAIN_ROWS = 12_000
@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, usable, rows: int
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
     # about `rows` rows of FEATURES numbers come to the driver
-    found = labelled_sample(docs, labels, label_col, usable, rows, id_col, text_col).mapInArrow(measure, "x array<double>, label double").orderBy("x", "label").toPandas()
+    found = labelled_sample(docs, labels, label_col, usable, rows, id_col, text_col).mapInArrow(lean(measure), "x array<double>, label double").orderBy("x", "label").toPandas()
     x = np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), len(FEATURES))
     return fit(x, found["label"].to_numpy(dtype=np.float64))
 
@@ -163,4 +163,4 @@ def score(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, id_col:
             s = shipped.value.score(features(batch.column(1).cast(pa.binary()).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(mark, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(lean(mark), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)

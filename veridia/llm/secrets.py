@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, with_row_number
+from .common import lean, materialise, new_path, with_row_number
 
 _HEX = bytes(120 if chr(i) in "0123456789abcdef" else 0 for i in range(256))
 
@@ -117,11 +117,11 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     ledger = ledger or new_path(spark, "ledger")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sha = F.unhex(F.sha2(text, 256))
-    blobs = docs.select(sha.alias("sha"), text.alias("text")).where("text != ''").mapInArrow(_pack, "sha binary, packed binary")
+    blobs = docs.select(sha.alias("sha"), text.alias("text")).where("text != ''").mapInArrow(lean(_pack), "sha binary, packed binary")
     known = _ledger(spark, ledger)
     if known is not None:
         blobs = blobs.join(known.where(F.col("version") == version).select("sha"), "sha", "left_anti")
-    found = blobs.repartition("sha").sortWithinPartitions("sha").mapInArrow(_scanner(rules), f"sha binary, findings {FINDINGS}")
+    found = blobs.repartition("sha").sortWithinPartitions("sha").mapInArrow(lean(_scanner(rules)), f"sha binary, findings {FINDINGS}")
     found.withColumn("version", F.lit(version)).write.mode("append").parquet(ledger)
     hits = spark.read.parquet(ledger).where((F.col("version") == version) & (F.size("findings") > 0)).select("sha", "findings")
     paths = docs.select(F.col(id_col), sha.alias("sha"))
@@ -152,7 +152,7 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
             columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return numbered.join(found, "rid", "left").select(*names, "findings").mapInArrow(clean, docs.schema)
+    return numbered.join(found, "rid", "left").select(*names, "findings").mapInArrow(lean(clean), docs.schema)
 
 
 def report(docs: DataFrame, **how) -> DataFrame:

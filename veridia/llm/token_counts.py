@@ -20,7 +20,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import lean, slices
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -141,7 +141,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULA
                 names=["id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(count, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(lean(count), f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
 
 
 def prefix_tables(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,4 +159,4 @@ def prefix_tables(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "
                 counts.append(t.before[1:])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["id", "ends", "counts"])
 
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(build, f"id {kind}, ends array<bigint>, counts array<bigint>").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(lean(build), f"id {kind}, ends array<bigint>, counts array<bigint>").withColumnRenamed("id", id_col)

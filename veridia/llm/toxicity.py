@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, slices
+from .common import hash_words, lean, slices
 from .quality import labelled_sample
 
 #: At most about so many labelled rows are learned from; a documented bound.
@@ -201,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, usable, rows: int
         yield pa.RecordBatch.from_arrays([pa.array([c.slots.tolist()], pa.list_(pa.int64())), pa.array([c.weight.tolist()], pa.list_(pa.float64())), pa.array([c.bias])], names=["slots", "weight", "bias"])
 
     sample = labelled_sample(docs, labels, label_col, usable, rows, id_col, text_col)
-    got = sample.coalesce(1).mapInArrow(run, "slots array<bigint>, weight array<double>, bias double").collect()
+    got = sample.coalesce(1).mapInArrow(lean(run), "slots array<bigint>, weight array<double>, bias double").collect()
     c = got[0] if got else fit([], np.zeros(0))
     if got:
         return Classifier(np.array(c["slots"], dtype=np.int64), np.array(c["weight"], dtype=np.float64), c["bias"])
@@ -219,4 +219,4 @@ def score(docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD,
             s = np.array([x for a, b in slices(texts) for x in shipped.value.score(presence([(t or "").lower().encode() for t in texts[a:b]]))], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(mark, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(lean(mark), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
