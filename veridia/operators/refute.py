@@ -30,6 +30,8 @@ class Solver:
         for i, (lits, counted, _) in enumerate(clauses):
             for p in {abs(p) for p in (*lits, *counted)}:
                 self.where.setdefault(p, []).append(i)
+        self.order = sorted(self.where, key=lambda a: -len(self.where[a]))
+        self.settled: list[dict[int, bool] | None] = []
 
     def propagate(self, value: dict[int, bool], todo: list[int], trail: list[int]) -> bool:
         """Sets the literals of todo and all that follows; False on a contradiction."""
@@ -73,40 +75,45 @@ class Solver:
             todo += [-p for p in open_]
         return True
 
+    def settle(self) -> dict[int, bool] | None:
+        """What follows without any assumption; None if the clauses contradict each other at once."""
+        if not self.settled:
+            value: dict[int, bool] = {}
+            start: list[int] = []
+            fine = all(self._look(i, value, start) for i in range(len(self.clauses))) and self.propagate(value, start, [])
+            self.settled = [value if fine else None]
+        return self.settled[0]
+
     def model(self, assumed: list[int]) -> dict[int, bool] | None:
-        value: dict[int, bool] = {}
-        start = list(assumed)
-        for i in range(len(self.clauses)):
-            if not self._look(i, value, start):
-                return None
-        if not self.propagate(value, start, []):
+        given = self.settle()
+        if given is None:
+            return None
+        value = dict(given)
+        if not self.propagate(value, list(assumed), []):
             return None
-        atoms = sorted(self.where, key=lambda a: -len(self.where[a]))
-        stack: list[tuple[list[int], int, bool]] = []  # trail, atom, was the other value tried
+        stack: list[tuple[list[int], int, bool, int]] = []  # trail, atom, was the other value tried, place
         k = 0
         while True:
-            while k < len(atoms) and atoms[k] in value:
+            while k < len(self.order) and self.order[k] in value:
                 k += 1
-            if k == len(atoms):
+            if k == len(self.order):
                 return value
-            decided, v = atoms[k], False
-            tried = False
+            decided, v, tried = self.order[k], False, False
             while True:
                 trail: list[int] = []
                 if self.propagate(value, [decided if v else -decided], trail):
-                    stack.append((trail, decided, tried))
+                    stack.append((trail, decided, tried, k))
                     break
                 for a in trail:
                     del value[a]
                 while tried:
                     if not stack:
                         return None
-                    trail, decided, tried = stack.pop()
+                    trail, decided, tried, k = stack.pop()
                     v = value[decided]
                     for a in trail:
                         del value[a]
                 v, tried = not v, True
-            k = 0
 
 
 def solve(rows: list[tuple[list[tuple[str, str, bool]], list[tuple[str, str, bool]], int]], goal: Key) -> tuple[list[str], bool]:
