@@ -42,8 +42,8 @@ class Layout:
 
     @property
     def paths(self) -> list[str]:
-        if self.rows:
-            return sorted(self.rows)
+        if self.rows:  # what the id is called tells no layouts apart
+            return sorted(self.rows[1:])
         return sorted({f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"} if self.messages else {p for _, p in self.fields})
 
 
@@ -95,8 +95,12 @@ def _role(role: Column) -> Column:
     return F.coalesce(named[F.lower(role)], role, F.lit(""))
 
 
-def _turns(messages: Column) -> Column:
-    return F.posexplode(messages)
+def _message(layout: Layout):
+    return lambda m: F.struct(_role(m[layout.role]).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text"))
+
+
+def _under(path: str):
+    return lambda k: F.concat(F.lit(f"{path}[]."), k)
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -118,7 +122,7 @@ def canonical_records(df: DataFrame, record_col: str, id_col: str = "conv_id") -
     hashed and its mapping is looked up. Records of unknown layout give one row without a turn."""
     record = F.col(record_col)
     keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    inner = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{m}[0]")), F.array().cast("array<string>")), lambda k, m=m: F.concat(F.lit(f"{m}[]."), k)) for m in _LISTS]
+    inner = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{m}[0]")), F.array().cast("array<string>")), _under(m)) for m in _LISTS]
     known = F.array_intersect(F.concat(keys, *inner), F.array(*[F.lit(p) for p in _KNOWN]))
     mark = F.sha2(F.array_join(F.array_sort(known), "\n"), 256)
     message = F.lit(None).cast("array<struct<role:string,text:string>>")
@@ -127,7 +131,7 @@ def canonical_records(df: DataFrame, record_col: str, id_col: str = "conv_id") -
             continue
         if layout.messages:
             kind = f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
-            got = F.transform(F.from_json(F.get_json_object(record, f"$.{layout.messages}"), kind), lambda m, y=layout: F.struct(_role(m[y.role]).alias("role"), F.coalesce(m[y.text], F.lit("")).alias("text")))
+            got = F.transform(F.from_json(F.get_json_object(record, f"$.{layout.messages}"), kind), _message(layout))
         else:
             got = F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(F.get_json_object(record, f"$.{p}"), F.lit("")).alias("text")) for r, p in layout.fields])
             got = F.filter(got, lambda m: (m["text"] != "") | (m["role"] == ASSISTANT))

@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_backed(df: DataFrame) -> DataFrame:
+    """df itself if it only reads, filters and projects files, so that a second reading gives the same
+    rows in the same places; else a written copy."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.children().size() == 1:
+        plan = plan.children().head()
+    return df if plan.nodeName() in ("LogicalRelation", "DataSourceV2ScanRelation") else materialise(df, "rows")
+
+
 def with_row_number(df: DataFrame) -> DataFrame:
     """df with rid, a number of the row: the same each time a table is read from the same files."""
     return df.withColumn("rid", F.monotonically_increasing_id())

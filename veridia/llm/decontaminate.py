@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_row_number
+from .common import file_backed, materialise, with_row_number
 
 WINDOW = 10
 SHINGLE = 5
@@ -115,6 +115,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """docs without the rows that have a word of a window; other rows and all columns stay."""
+    docs = file_backed(docs)
     hit = materialise(contamination(docs, items, **how).where("contaminated").select("rid"), "contaminated")
     return with_row_number(docs).join(hit, "rid", "left_anti").drop("rid")
 

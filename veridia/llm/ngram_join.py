@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from veridia.operators.components import connected_components
 
-from .common import hash_words, lean, materialise, mix64, remove, slices, uniform, with_row_number
+from .common import file_backed, hash_words, lean, materialise, mix64, remove, slices, uniform, with_row_number
 
 WORDS = 5
 #: Similarity as a fraction: NUM / DEN.
@@ -587,7 +587,7 @@ def _opened(batches):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: rid (with_row_number), id_col, n_shingles, component_id (the
     smallest id reachable by links), materialised up to the last joins."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, file_backed(docs)
     buckets = max(512, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     doc_kind = docs.schema[id_col].dataType.simpleString()
     texts = with_row_number(docs).select("rid", F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -663,6 +663,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that with the smallest id, the first of its rows. Rows that
     link with nothing, empty ones too, all stay unless they repeat an id and set."""
+    docs = file_backed(docs)
     found = near_duplicates(docs, id_col, text_col)
     alone = found.where("n_shingles = 0").select("rid")
     best = found.where((F.col("n_shingles") > 0) & F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("rid").alias("rid"))

@@ -140,7 +140,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarr
     for r in range(rounds):
         rate = np.stack([(kinds * w[:, None, None]).sum(axis=0) + 0.5 for w in (1 - p, p)])
         rate /= rate.sum(axis=2, keepdims=True)
-        if r in (4, 9):  # residuals given the class, once the classes have settled
+        if r in (0, 4, 9):  # residuals given the class: at first of the majority, then of the settled classes
             expected = np.stack([rate[k] @ np.array([-1.0, 0, 1]) for k in (0, 1)])
             rest = v - (np.outer(1 - p, expected[0]) + np.outer(p, expected[1]))
             spread = rest.std(axis=0)
