@@ -44,9 +44,16 @@ def uniform(*columns: str):
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
+#: Rows of an Arrow batch, where the session doesn't say: 10,000 (the default) long texts are much for a worker.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def lean(run):
     """Of a function for mapInArrow the same function, which gives freed memory back to the system at
-    its end: workers are used again by later tasks."""
+    its end: workers are used again by later tasks. Also bounds the batches of this session."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get(BATCH_SETTING, None) is None:
+        session.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
     def wrapped(batches):
         try:
