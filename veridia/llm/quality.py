@@ -148,9 +148,11 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, usable, rows: int
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
     # about `rows` rows of FEATURES numbers come to the driver
-    found = labelled_sample(docs, labels, label_col, usable, rows, id_col, text_col).mapInArrow(lean(measure), "x array<double>, label double").orderBy("x", "label").toPandas()
+    found = labelled_sample(docs, labels, label_col, usable, rows, id_col, text_col).mapInArrow(lean(measure), "x array<double>, label double").toPandas()
     x = np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), len(FEATURES))
-    return fit(x, found["label"].to_numpy(dtype=np.float64))
+    y = found["label"].to_numpy(dtype=np.float64)
+    order = np.lexsort((y, *x.T))  # the rows come in any order, sums of floating-point numbers depend on it
+    return fit(x[order], y[order])
 
 
 def score(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
