@@ -91,3 +91,52 @@ def test_known_contradictions():
     ]
     for axioms, clash in cases:
         assert Program(axioms).unsatisfiable("A") == clash
+
+
+# ---- instances: ground rules against models over the named individuals and one more --------------
+
+FACTS = st.lists(st.tuples(st.sampled_from("AB"), st.booleans(), st.sampled_from("ab")), max_size=2)
+EDGES = st.lists(st.tuples(st.just("r"), st.sampled_from("ab"), st.sampled_from("ab")), max_size=2)
+
+
+def entailed(program, facts, edges, goal):
+    """The rules, grounded on the individuals, and the negated goal have no model."""
+    from veridia.operators.refute import Solver
+
+    number = {}
+
+    def lit(name, ind, positive):
+        a = number.setdefault((name, ind), len(number) + 1)
+        return a if positive else -a
+
+    pairs, clauses = {(s, o) for _, s, o in edges}, []
+    for r in program.rules:
+        for x in "ab":
+            unary = [lit(k[0], x, k[1]) for k in r.unary]
+            if r.modal is None:
+                clauses.append((unary, [], 0))
+                continue
+            n, (_, inverted), filler = r.modal
+            near = [y for y in "ab" if ((y, x) if inverted else (x, y)) in pairs]
+            if filler is None:
+                clauses += [(unary, [], 0)] if len(near) > n else []
+            elif n == 0:
+                clauses += [([*unary, lit(filler[0], y, not filler[1])], [], 0) for y in near]
+            elif len(near) > n:
+                clauses.append((unary, [lit(filler[0], y, filler[1]) for y in near], n))
+    clauses += [([lit(n, i, p)], [], 0) for n, p, i in facts] + [([-lit(*goal)], [], 0)]
+    return any(not a and not b for a, b, _ in clauses) or Solver(clauses).model([]) is None
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(concepts, concepts), min_size=1, max_size=2), FACTS, EDGES, st.tuples(st.sampled_from("AB"), st.sampled_from("ab"), st.booleans()))
+def test_no_model_contradicts_an_answer(axioms, facts, edges, goal):
+    told = Axioms()
+    for c, d in axioms:
+        told.implies(c, d)
+    if not entailed(Program(told), facts, edges, goal):
+        return
+    at = {"a": 0, "b": 1}
+    for domain, conc, rel in models(2):
+        if {(at[s], at[o]) for _, s, o in edges} <= rel["r"] and all((at[i] in conc[n]) == p for n, p, i in facts) and (at[goal[1]] in conc[goal[0]]) != goal[2]:
+            assert not all(not holds(c, x, domain, conc, rel) or holds(d, x, domain, conc, rel) for c, d in axioms for x in domain)
