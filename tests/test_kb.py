@@ -187,6 +187,17 @@ def test_xml_requests(spark):
     assert dig.counters(TELLS)["instanceof"] == 2
 
 
+def test_written_requests_and_facts(spark, tmp_path):
+    told = Axioms().implies(And(atom("A"), some(inv("r"), atom("B"))), Or(Not(atom("C")), atmost(2, "r"))).subrole(inv("r"), "s").trans("s")
+    told.fact(Not(atom("C")), "x").related("x", "r", "y").fact(TOP, "z").fact(atom("A"), "y")
+    again = dig.parse(dig.write_tells(told)).axioms
+    for k in ("concepts", "roles", "transitive", "concept_facts", "role_facts", "individuals"):
+        assert getattr(again, k) == getattr(told, k)
+    kb(spark, told).materialise(str(tmp_path / "m"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "m/concepts")).collect()} == {("y", "A")}
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "m/roles")).collect()} == {("x", "y", "r"), ("y", "x", "s")}
+
+
 def test_bulk_xml_and_owl(spark, tmp_path):
     path = tmp_path / "t.dig"
     path.write_text(TELLS)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable
+from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,7 +96,7 @@ class KnowledgeBase:
                 by_role.setdefault(name, []).append((s, o))
             for k, rows in by_role.items():
                 roles.setdefault(k, []).append(self.spark.createDataFrame(rows, "s string, o string"))
-            self._told = {k: union(v) for k, v in concepts.items()}, {k: union(v) for k, v in roles.items()}
+            self._told = {k: union(v) for k, v in concepts.items()}, {k: reduce(DataFrame.union, v) for k, v in roles.items()}
         return self._told
 
     def individuals(self) -> DataFrame:
@@ -297,6 +299,15 @@ class KnowledgeBase:
                     parts.append(hit.select(F.lit(str(r)).alias("what"), "ind"))
         return union(parts) if parts else self.spark.createDataFrame([], "what string, ind string")
 
+    def materialise(self, path: str, concepts: Iterable[str] | None = None, roles: Iterable[str] | None = None) -> None:
+        """Writes what is entailed: path/concepts (pred, ind) and path/roles (pred, s, o), partitioned by
+        pred, so that a reader of one predicate reads its files only. Default: all names."""
+        wanted = self.concept_names() if concepts is None else list(concepts)
+        for n in wanted:
+            self.instances(n).write.mode("overwrite").parquet(f"{path}/concepts/pred={quote(n, safe='')}")
+        for n in self.role_names() if roles is None else list(roles):
+            self.related(n).write.mode("overwrite").parquet(f"{path}/roles/pred={quote(n, safe='')}")
+
     def ask_all(self, asks: Iterable[Callable[[KnowledgeBase], object]]) -> list[object]:
         """One answer for each ask; an ask that fails gives its error and doesn't stop the others."""
         out: list[object] = []

@@ -156,7 +156,7 @@ def ground(rules: list[Rule], horn: Horn) -> DataFrame | None:
             each = horn.individuals().select(cid.alias("cid"), F.explode(F.array(*[literal(cid, 0, "c", k, F.col("ind")) for k in r.unary])).alias("l"))
         else:
             n, role, filler = r.modal
-            edges = horn.roles.edges(role)
+            edges = horn.roles.edges(role, unique=True)
             if edges is None:
                 continue
             if n == 0:

@@ -40,8 +40,10 @@ class Roles:
         self.stored, self.box = stored, box
         self._whole: dict[Role, DataFrame | None] = {}
 
-    def edges(self, r: Role) -> DataFrame | None:
-        """Of all roles below r, in r's direction, without transitivity (rules have that compiled in)."""
+    def edges(self, r: Role, unique: bool = False) -> DataFrame | None:
+        """Of all roles below r, in r's direction, without transitivity (rules have that compiled in).
+        Pairs may repeat unless unique: semi-joins and distinct counts don't mind, and a distinct on
+        the pair would be a shuffle that no later join on one side can use."""
         parts = []
         for name, inverted in sorted(self.box.subs(r)):
             if name in self.stored:
@@ -51,7 +53,7 @@ class Roles:
         out = parts[0].select("s", "o")
         for p in parts[1:]:
             out = out.union(p.select("s", "o"))
-        return out.distinct()
+        return out.distinct() if unique else out
 
     def whole(self, r: Role) -> DataFrame | None:
         """All entailed pairs, with transitive roles at or below r closed."""
@@ -66,5 +68,5 @@ class Roles:
                 out = parts[0] if parts else None
                 for p in parts[1:]:
                     out = out.union(p)
-                self._whole[r] = out.distinct() if len(parts) > 1 else out
+                self._whole[r] = None if out is None else out.distinct()
         return self._whole[r]

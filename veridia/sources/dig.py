@@ -257,6 +257,60 @@ def bulk_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return concepts.where("pred is not null"), roles.where("pred is not null")
 
 
+def _role_element(r: Role) -> ET.Element:
+    own = ET.Element("ratom", {"name": r[0]})
+    if not r[1]:
+        return own
+    out = ET.Element("inverse")
+    out.append(own)
+    return out
+
+
+def _concept_element(c: Concept) -> ET.Element:
+    kind = c[0]
+    if kind == "atom":
+        return ET.Element("catom", {"name": c[1]})
+    if kind in ("top", "bottom"):
+        return ET.Element(kind)
+    if kind in ("not", "and", "or"):
+        out = ET.Element(kind)
+        for x in [c[1]] if kind == "not" else c[1]:
+            out.append(_concept_element(x))
+        return out
+    out = ET.Element("atleast" if kind == "min" else "atmost", {"num": str(c[1])})
+    out.append(_role_element(c[2]))
+    out.append(_concept_element(c[3]))
+    return out
+
+
+def write_tells(axioms: Axioms) -> str:
+    """The axioms as a tells request."""
+    root = ET.Element("tells", {"xmlns": NAMESPACES[0]})
+
+    def add(kind: str, *parts: ET.Element, **attributes: str) -> None:
+        e = ET.SubElement(root, kind, attributes)
+        e.extend(parts)
+
+    person = lambda i: ET.Element("individual", {"name": i})
+    for n in axioms.concept_names:
+        add("defconcept", name=n)
+    for n in axioms.role_names:
+        add("defrole", name=n)
+    for c, d in axioms.concepts:
+        add("impliesc", _concept_element(c), _concept_element(d))
+    for r, s in axioms.roles:
+        add("impliesr", _role_element(r), _role_element(s))
+    for r in axioms.transitive:
+        add("transitive", _role_element(r))
+    for n, positive, i in axioms.concept_facts:
+        add("instanceof", person(i), _concept_element(("atom", n) if positive else ("not", ("atom", n))))
+    for i in axioms.individuals:
+        add("instanceof", person(i), ET.Element("top"))
+    for n, s, o in axioms.role_facts:
+        add("related", person(s), _role_element(role(n)), person(o))
+    return ET.tostring(root, encoding="unicode")
+
+
 # ---- answers -----------------------------------------------------------------------------------
 
 
