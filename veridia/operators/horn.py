@@ -18,6 +18,7 @@ from veridia.storage import materialise
 from .roles import Roles
 
 ROUNDS = 10_000
+COMPACT = 16
 
 
 def union(parts: list[DataFrame]) -> DataFrame | None:
@@ -110,7 +111,7 @@ class Horn:
         nothing = self.individuals().limit(0)
         total = {k: materialise(f if f is not None else nothing, "facts") for k, f in start.items()}
         new = dict(total)
-        for _ in range(ROUNDS):
+        for turn in range(ROUNDS):
             new = {k: f for k, f in new.items() if not f.isEmpty()}
             if not new:
                 break
@@ -121,6 +122,8 @@ class Horn:
                         found.setdefault(k, []).append(self.derive(rule, k, at, self.known | total, changed=(b, new[b])))
             new = {k: materialise(union(parts).join(total[k], "ind", "left_anti"), "facts") for k, parts in found.items()}
             total = {k: total[k].union(new[k]) if k in new else total[k] for k in total}
+            if turn % COMPACT == COMPACT - 1:  # one table again, so that plans stay small on long chains
+                total = {k: materialise(f, "facts") for k, f in total.items()}
         else:
             raise RuntimeError(f"no fixpoint in {ROUNDS} rounds")
         self.known |= total
