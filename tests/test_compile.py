@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veridia.plans.program import Program
-from veridia.plans.terms import BOTTOM, TOP, And, Axioms, Not, Or, atleast, atmost, atom, inv, only, role, some
+from veridia.plans.terms import BOTTOM, TOP, And, Axioms, DLError, Not, Or, atleast, atmost, atom, inv, only, role, some
 
 A, B = atom("A"), atom("B")
 
@@ -55,13 +55,16 @@ concepts = st.recursive(
 )
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=60, deadline=None, derandomize=True)
 @given(st.lists(st.tuples(concepts, concepts), min_size=1, max_size=2), concepts)
 def test_unsatisfiable_only_if_no_small_model_has_it(axioms, asked):
     told = Axioms()
     for c, d in axioms:
         told.implies(c, d)
-    p = Program(told, [(atom("Q"), asked)])
+    try:
+        p = Program(told, [(atom("Q"), asked)])
+    except DLError:  # refused as too large
+        return
     says_no = bool(_no_element(p)) or p.unsatisfiable("Q")
     for domain, conc, rel in SMALL:
         if all(not holds(c, x, domain, conc, rel) or holds(d, x, domain, conc, rel) for c, d in axioms for x in domain):
@@ -128,13 +131,16 @@ def entailed(program, facts, edges, goal):
     return any(not a and not b for a, b, _ in clauses) or Solver(clauses).model([]) is None
 
 
-@settings(max_examples=80, deadline=None)
+@settings(max_examples=80, deadline=None, derandomize=True)
 @given(st.lists(st.tuples(concepts, concepts), min_size=1, max_size=2), FACTS, EDGES, st.tuples(st.sampled_from("AB"), st.sampled_from("ab"), st.booleans()))
 def test_no_model_contradicts_an_answer(axioms, facts, edges, goal):
     told = Axioms()
     for c, d in axioms:
         told.implies(c, d)
-    if not entailed(Program(told), facts, edges, goal):
+    try:
+        if not entailed(Program(told), facts, edges, goal):
+            return
+    except DLError:  # refused as too large
         return
     at = {"a": 0, "b": 1}
     for domain, conc, rel in models(2):

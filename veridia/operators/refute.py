@@ -143,9 +143,19 @@ def solve(rows: list[tuple[list[tuple[str, str, bool]], list[tuple[str, str, boo
 LITERAL = "struct<pred:string,ind:string,pos:boolean>"
 
 
-def ground(rules: list[Rule], horn: Horn) -> DataFrame | None:
+def ground(rules: list[Rule], horn: Horn, goal: Key) -> DataFrame | None:
     """cid, lits, counted, bound: open ground clauses."""
     rows = []  # cid, bound, kind, pred, ind, pos
+    base = horn.program.stated(rules)
+
+    def only_facts(keys) -> list[Key]:
+        """Literals that only a fact can contradict: where it isn't known, the clause is of no use."""
+        return [k for k in keys if (k[0], not k[1]) not in base and k != goal]
+
+    def known_false(df: DataFrame, column: str, keys) -> DataFrame:
+        for k in only_facts(keys):
+            df = df.join(horn.facts((k[0], not k[1])).withColumnRenamed("ind", column), column, "left_semi")
+        return df
 
     def literal(cid, bound: int, kind: str, k: Key, ind):
         return F.struct(F.lit(bound).alias("bound"), F.lit(kind).alias("kind"), F.lit(k[0]).alias("pred"), ind.alias("ind"), F.lit(k[1]).alias("pos"))
@@ -153,17 +163,19 @@ def ground(rules: list[Rule], horn: Horn) -> DataFrame | None:
     for i, r in enumerate(rules):
         if r.modal is None:
             cid = F.concat_ws("|", F.lit(str(i)), "ind")
-            each = horn.individuals().select(cid.alias("cid"), F.explode(F.array(*[literal(cid, 0, "c", k, F.col("ind")) for k in r.unary])).alias("l"))
+            each = known_false(horn.individuals(), "ind", r.unary).select(cid.alias("cid"), F.explode(F.array(*[literal(cid, 0, "c", k, F.col("ind")) for k in r.unary])).alias("l"))
         else:
             n, role, filler = r.modal
             edges = horn.roles.edges(role, unique=True)
             if edges is None:
                 continue
+            edges = known_false(edges, "s", r.unary)
             if n == 0:
                 cid = F.concat_ws("|", F.lit(str(i)), "s", "o")
                 lits = [literal(cid, 0, "c", k, F.col("s")) for k in r.unary]
                 if filler:
                     lits.append(literal(cid, 0, "c", (filler[0], not filler[1]), F.col("o")))
+                    edges = known_false(edges, "o", [(filler[0], not filler[1])])
                 if not lits:
                     continue
                 each = edges.select(cid.alias("cid"), F.explode(F.array(*lits)).alias("l"))
@@ -220,7 +232,7 @@ def ground(rules: list[Rule], horn: Horn) -> DataFrame | None:
 def refute(goal: Key, rules: list[Rule], horn: Horn) -> tuple[DataFrame | None, DataFrame | None]:
     """Instances (ind) of the goal that only a contradiction proves, and the components (with one
     of their individuals) that are inconsistent."""
-    clauses = ground(rules, horn)
+    clauses = ground(rules, horn, goal)
     if clauses is None:
         return None, None
     clauses = materialise(clauses, "ground")
@@ -234,13 +246,20 @@ def refute(goal: Key, rules: list[Rule], horn: Horn) -> tuple[DataFrame | None,
 
     def check(table):
         triple = lambda p: (p["pred"], p["ind"], p["pos"])
-        rows = [([triple(p) for p in r["lits"]], [triple(p) for p in r["counted"]], r["bound"]) for r in table.to_pylist()]
-        found, consistent = [], True
-        if any(p[0] == goal_name for a, b, _ in rows for p in (*a, *b)):
-            found, consistent = solve(rows, (goal_name, goal_pos))
-            if not consistent:
-                found = [next(p[1] for a, b, _ in rows for p in (*a, *b))]
-        return pa.table({"ind": pa.array(found, pa.string()), "consistent": pa.array([consistent] * len(found), pa.bool_())})
-
-    found = materialise(placed.groupBy("component").applyInArrow(check, "ind string, consistent boolean"), "refuted")
+        parts: dict[int, list] = {}
+        for r in table.to_pylist():
+            parts.setdefault(r["component"], []).append(([triple(p) for p in r["lits"]], [triple(p) for p in r["counted"]], r["bound"]))
+        out: list[tuple[str, bool]] = []
+        for rows in parts.values():
+            if any(p[0] == goal_name for a, b, _ in rows for p in (*a, *b)):
+                found, consistent = solve(rows, (goal_name, goal_pos))
+                if not consistent:
+                    found = [next(p[1] for a, b, _ in rows for p in (*a, *b))]
+                out += [(i, consistent) for i in found]
+        return pa.table({"ind": pa.array([i for i, _ in out], pa.string()), "consistent": pa.array([c for _, c in out], pa.bool_())})
+
+    # many components are small: a call takes up all of a bucket
+    buckets = 16 * int(clauses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    found = materialise(dealt.groupBy("bucket").applyInArrow(check, "ind string, consistent boolean"), "refuted")
     return found.where("consistent").select("ind"), found.where("not consistent").select("ind")
