@@ -507,6 +507,16 @@ def test_ngram_join_with_common_shingles(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == sorted(want) and set(kept[0].asDict()) == {"doc_id", "text", "lang"}
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """Components that share a component_id, as ids are null or repeat, keep a row each."""
+    rnd = random.Random(17)
+    a, b, c, d, e = (prose(rnd, "en", 60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (9, d + " more"), (None, e), (7, e), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(df).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (5, c), (5, d), (7, e), (None, None)], key=str)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 10_000))
 def test_local_join_is_exact(seed):

@@ -586,7 +586,8 @@ def _opened(batches):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: rid (with_row_number), id_col, n_shingles, component_id (the
-    smallest id reachable by links), materialised up to the last joins."""
+    smallest id reachable by links), label (of the component; null without shingles), materialised
+    up to the last joins. Components can share a component_id, where ids repeat or are null, but no label."""
     spark, docs = docs.sparkSession, file_backed(docs)
     buckets = max(512, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     doc_kind = docs.schema[id_col].dataType.simpleString()
@@ -654,20 +655,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = label.groupBy("d1", "d2").agg(F.min(F.coalesce("component", "rid")).alias("label"))
     named = least.join(label, ["d1", "d2"])
     of_label = named.groupBy("label").agg(F.min("doc").alias("least"))
-    named = materialise(named.join(of_label, "label").select("d1", "d2", "least"), "named")
+    named = materialise(named.join(of_label, "label").select("d1", "d2", "label", "least"), "named")
     out = rows.select("rid", "doc", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
-    return out.select("rid", F.col("doc").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
+    return out.select("rid", F.col("doc").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"), "label")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest id, the first of its rows. Rows that
-    link with nothing, empty ones too, all stay unless they repeat an id and set."""
+    """docs with one row of each component: that with the smallest id (null after all others), the first
+    of its rows. Rows that link with nothing, empty ones too, all stay, whatever their ids."""
     docs = file_backed(docs)
     found = near_duplicates(docs, id_col, text_col)
     alone = found.where("n_shingles = 0").select("rid")
-    best = found.where((F.col("n_shingles") > 0) & F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("rid").alias("rid"))
-    keep = materialise(alone.union(best.select("rid")), "kept")
+    best = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), "rid")).alias("best"))
+    keep = materialise(alone.union(best.select("best.rid")), "kept")
     return with_row_number(docs).join(keep, "rid", "left_semi").drop("rid")
 
 
