@@ -541,3 +541,41 @@ def test_local_join_is_exact(seed):
 def test_word_hashes_tell_words_apart():
     h, at = hash_words([b"a b  ab", None, b"", b" \n", b"b a"])
     assert at.tolist() == [0, 3, 3, 3, 3, 5] and len(set(h.tolist())) == 3 and h[0] == h[4] and h[1] == h[3]
+
+
+def test_filters_hold_when_files_are_split_otherwise(spark, tmp_path, monkeypatch):
+    """Between the decision and the last reading, the cluster's cores and so the files' splits change."""
+    rnd = random.Random(23)
+    item = prose(rnd, "en", 15)
+    texts = [prose(rnd, "en", 40) for _ in range(300)]
+    texts = [x + " " + item if i % 10 == 3 else x + " token = abcdef0123456789" if i % 10 == 6 else texts[i - 1] if i % 10 == 9 else x for i, x in enumerate(texts)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/docs")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    split = "spark.sql.files.maxPartitionBytes"
+    for module, run in (
+        (ngram_join, lambda d: ngram_join.one_of_each(d)),
+        (decontaminate, lambda d: decontaminate.clean(d, items)),
+        (secrets, lambda d: secrets.redact(d)),
+    ):
+        write = module.materialise
+
+        def materialise(df, name, write=write):
+            out = write(df, name)
+            if name in ("kept", "contaminated", "findings"):
+                spark.conf.set(split, "4k")
+            return out
+
+        monkeypatch.setattr(module, "materialise", materialise)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = {r["doc_id"]: r["text"] for r in run(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+        finally:
+            spark.conf.unset(split)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        if module is ngram_join:
+            want = {i: x for i, x in enumerate(texts) if texts.index(x) == i}
+        elif module is decontaminate:
+            want = {i: x for i, x in enumerate(texts) if item not in x}
+        else:
+            want = {i: x.replace("token = abcdef0123456789", "[SECRET]") for i, x in enumerate(texts)}
+        assert got == want, module.__name__

@@ -29,10 +29,16 @@ def file_backed(df: DataFrame) -> DataFrame:
 
 
 def with_row_number(df: DataFrame) -> DataFrame:
-    """df with rid, a number of the row: the same each time a table is read from the same files."""
+    """df with rid, a number of the row in this one reading: another reading of the same files can be
+    split otherwise (by the cores that the cluster has just then) and give other numbers."""
     return df.withColumn("rid", F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with rid, written once to the shared folder: every reading has the same numbers."""
+    return materialise(with_row_number(df), "numbered")
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of a column as text, modulo; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -24,11 +24,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_backed, materialise, with_row_number
+from .common import materialise, numbered
 
 WINDOW = 10
 SHINGLE = 5
 BROADCAST_SHINGLES = 500_000
+ROW = "decontaminate_row"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -84,7 +85,7 @@ def matches(docs: DataFrame, windows: DataFrame, window: int = WINDOW, id_col: s
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For each row of docs: rid (with_row_number), id_col, n_words, n_hit, items (sorted ids of the items with occurring
+    """For each row of docs: rid (a number of this reading), id_col, n_words, n_hit, items (sorted ids of the items with occurring
     windows), spans (merged runs of hit words: from, to), contaminated."""
     windows = windows_of(items, window, shingle, item_col, item_text)
     m = matches(docs, windows, window, id_col, text_col)
@@ -115,9 +116,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """docs without the rows that have a word of a window; other rows and all columns stay."""
-    docs = file_backed(docs)
-    hit = materialise(contamination(docs, items, **how).where("contaminated").select("rid"), "contaminated")
-    return with_row_number(docs).join(hit, "rid", "left_anti").drop("rid")
+    rows = numbered(docs).withColumnRenamed("rid", ROW)
+    hit = materialise(contamination(rows, items, **how | {"id_col": ROW}).where("contaminated").select(ROW), "contaminated")
+    return rows.join(hit, ROW, "left_anti").drop(ROW)
 
 
 def report(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

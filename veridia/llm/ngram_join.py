@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from veridia.operators.components import connected_components
 
-from .common import file_backed, hash_words, lean, materialise, mix64, remove, slices, uniform, with_row_number
+from .common import file_backed, hash_words, lean, materialise, mix64, numbered, remove, slices, uniform, with_row_number
 
 WORDS = 5
 #: Similarity as a fraction: NUM / DEN.
@@ -588,10 +588,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """For each row of docs: rid (with_row_number), id_col, n_shingles, component_id (the
     smallest id reachable by links), label (of the component; null without shingles), materialised
     up to the last joins. Components can share a component_id, where ids repeat or are null, but no label."""
-    spark, docs = docs.sparkSession, file_backed(docs)
+    return _near_duplicates(with_row_number(file_backed(docs)), id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates of rows that have a rid."""
+    spark = docs.sparkSession
     buckets = max(512, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     doc_kind = docs.schema[id_col].dataType.simpleString()
-    texts = with_row_number(docs).select("rid", F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select("rid", F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     # shingles that are common in a bounded sample only steer the choice of groups
     n_docs = docs.select(id_col).count()
@@ -664,12 +669,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that with the smallest id (null after all others), the first
     of its rows. Rows that link with nothing, empty ones too, all stay, whatever their ids."""
-    docs = file_backed(docs)
-    found = near_duplicates(docs, id_col, text_col)
+    rows = numbered(docs)
+    found = _near_duplicates(rows, id_col, text_col)
     alone = found.where("n_shingles = 0").select("rid")
     best = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), "rid")).alias("best"))
     keep = materialise(alone.union(best.select("best.rid")), "kept")
-    return with_row_number(docs).join(keep, "rid", "left_semi").drop("rid")
+    return rows.join(keep, "rid", "left_semi").drop("rid")
 
 
 def report(docs: DataFrame, **how) -> DataFrame:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_backed, lean, materialise, new_path, with_row_number
+from .common import lean, materialise, new_path, numbered
 
 _HEX = bytes(120 if chr(i) in "0123456789abcdef" else 0 for i in range(256))
 
@@ -132,9 +132,8 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     """docs with every span that a rule finds replaced by `mask`; all rows and columns stay.
 
     The findings come from the ledger; only rows that have some are joined back."""
-    docs = file_backed(docs)
-    numbered = with_row_number(docs)
-    found = scan(numbered, ledger, rules, version, "rid", text_col).where(F.size("findings") > 0).select("rid", "findings")
+    rows = numbered(docs)
+    found = scan(rows, ledger, rules, version, "rid", text_col).where(F.size("findings") > 0).select("rid", "findings")
     found = materialise(found, "findings")
     names, at = docs.columns, docs.columns.index(text_col)
 
@@ -153,7 +152,7 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
             columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return numbered.join(found, "rid", "left").select(*names, "findings").mapInArrow(lean(clean), docs.schema)
+    return rows.join(found, "rid", "left").select(*names, "findings").mapInArrow(lean(clean), docs.schema)
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
