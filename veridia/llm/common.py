@@ -34,6 +34,11 @@ def with_row_number(df: DataFrame) -> DataFrame:
     return df.withColumn("rid", F.monotonically_increasing_id())
 
 
+def digest(text_col: str):
+    """sha256 of a text, null as the empty text: what decisions on a text alone are joined back by."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with rid, written once to the shared folder: every reading has the same numbers."""
     return materialise(with_row_number(df), "numbered")

@@ -24,12 +24,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered
+from .common import digest, file_backed, materialise
 
 WINDOW = 10
 SHINGLE = 5
 BROADCAST_SHINGLES = 500_000
-ROW = "decontaminate_row"
+SHA = "decontaminate_sha"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -115,10 +115,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """docs without the rows that have a word of a window; other rows and all columns stay."""
-    rows = numbered(docs).withColumnRenamed("rid", ROW)
-    hit = materialise(contamination(rows, items, **how | {"id_col": ROW}).where("contaminated").select(ROW), "contaminated")
-    return rows.join(hit, ROW, "left_anti").drop(ROW)
+    """docs without the rows that have a word of a window; other rows and all columns stay. The decision
+    depends on the text alone and is joined back by its digest, so two readings need the same texts but not the same splits."""
+    docs, text_col = file_backed(docs), how.get("text_col", "text")
+    known = docs.select(digest(text_col).alias("sha"), F.col(text_col))
+    hit = materialise(contamination(known, items, **how | {"id_col": "sha"}).where("contaminated").select(F.col("sha").alias(SHA)).distinct(), "contaminated")
+    return docs.withColumn(SHA, digest(text_col)).join(hit, SHA, "left_anti").drop(SHA)
 
 
 def report(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

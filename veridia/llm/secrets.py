@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, new_path, numbered
+from .common import digest, file_backed, lean, materialise, new_path
 
 _HEX = bytes(120 if chr(i) in "0123456789abcdef" else 0 for i in range(256))
 
@@ -53,6 +53,7 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 VERSION = "1"
+SHA, FOUND = "redact_sha", "redact_findings"
 FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -116,7 +117,7 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     spark = docs.sparkSession
     ledger = ledger or new_path(spark, "ledger")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sha = F.unhex(F.sha2(text, 256))
+    sha = digest(text_col)
     blobs = docs.select(sha.alias("sha"), text.alias("text")).where("text != ''").mapInArrow(lean(_pack), "sha binary, packed binary")
     known = _ledger(spark, ledger)
     if known is not None:
@@ -131,10 +132,10 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
 def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span that a rule finds replaced by `mask`; all rows and columns stay.
 
-    The findings come from the ledger; only rows that have some are joined back."""
-    rows = numbered(docs)
-    found = scan(rows, ledger, rules, version, "rid", text_col).where(F.size("findings") > 0).select("rid", "findings")
-    found = materialise(found, "findings")
+    The findings come from the ledger; blobs that have some are joined back by their digest."""
+    docs = file_backed(docs)
+    found = scan(docs, ledger, rules, version, id_col, text_col).where(F.size("findings") > 0).select(F.col("sha").alias(SHA), F.col("findings").alias(FOUND))
+    found = materialise(found.dropDuplicates([SHA]), "findings")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def clean(batches):
@@ -152,7 +153,7 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
             columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.join(found, "rid", "left").select(*names, "findings").mapInArrow(lean(clean), docs.schema)
+    return docs.withColumn(SHA, digest(text_col)).join(found, SHA, "left").select(*names, FOUND).mapInArrow(lean(clean), docs.schema)
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
