@@ -444,6 +444,19 @@ def test_prefix_table(text, budget):
     assert all(encode(text[a:b]) <= budget or not text[a:b].split()[1:] for a, b in t.windows(budget))
 
 
+def test_prefix_tables_encode_nothing(spark, monkeypatch):
+    """A count for every prefix inside long chunks too, composed characters and added tokens included, without the encoder."""
+    counter = token_counts.ChunkCounter()
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(["the", "ing", "tion", "x", "Q", "é", "e\u0301", "漢字", "'ve\u0301", "'ll", "'R", "7", "!!", "a", "\u1112\u1161\u11ab", "<|endoftext|>", "👍🏽", "İ", "\xa0"]) for _ in range(60)) for _ in range(40)]
+    want = [[len(counter.tokenizer.encode(x[:i], add_special_tokens=False).ids) for i in range(len(x) + 1)] for x in texts]
+    monkeypatch.setattr(counter, "tokenizer", type("", (), {"normalizer": counter.tokenizer.normalizer, "pre_tokenizer": counter.tokenizer.pre_tokenizer})())
+    assert [token_counts.PrefixTable(x, counter).counts().tolist() for x in texts] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [r["counts"] for r in sorted(token_counts.prefix_tables(df).collect())] == want
+    assert [r["n_tokens"] for r in sorted(token_counts.token_counts(df).collect())] == [x[-1] for x in want]
+
+
 # ---- n-gram join -------------------------------------------------------------------------------
 
 

@@ -3,9 +3,10 @@
 The tokenizer's pre-tokenizer never joins characters across white space, so the encoding of a text
 is the concatenation of the encodings of its chunks between ASCII white space.  The count at a
 prefix is therefore the count at the last chunk boundary before it plus the count of a piece of one
-chunk:  ``count(text[:i]) = before[k] + count(chunk_k[:i - start_k])``.  A `PrefixTable` stores the
-first term for every boundary; the second is memoised by chunk piece, over all texts of a worker.
-Truncation and budget questions are then binary searches, not encodings.
+chunk:  ``count(text[:i]) = before[k] + table_k[i - start_k]``.  A chunk's table has the count of each
+of its prefixes, by one pass of dynamic programming over its pre-tokens (`Merges`), and is remembered
+over all texts of a worker; nothing is encoded.  Truncation and budget questions are look-ups, and
+the query's counts are the tables' last entries.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted row by
 row; white space only has 0 tokens; rows with a null id keep it.
@@ -13,10 +14,14 @@ row; white space only has 0 tokens; rows with a null id keep it.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from bisect import bisect_right
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -38,8 +43,77 @@ def vocabulary_path(name_or_path: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name_or_path))
 
 
+class Merges:
+    """BPE as a table: for each prefix of a pre-token (a string with a character for each byte) the number
+    of its tokens, by dynamic programming. The last token of a prefix is the only one that ends there and
+    that no merge tears from the last token before it, so a prefix costs a step, not an encoding."""
+
+    def __init__(self, model: dict):
+        self.end = model.get("end_of_word_suffix") or ""
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.rank = {m: i for i, m in enumerate(pairs)}
+        self.made = {x + y: i for i, (x, y) in enumerate(pairs)}
+        self.pairs, self.vocab = pairs, model["vocab"]
+        self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
+        self.fits: dict[tuple[str, str], bool] = {}
+        self.whole: dict[str, bool] = {}
+
+    def _apart(self, a: str, b: str, limit: float = float("inf")) -> bool:
+        """Whether no merge across the border of a and b comes before those that make a and b: these are undone, latest first."""
+        made, rank, pairs = self.made, self.rank, self.pairs
+        while True:
+            if rank.get((a, b), limit) < limit:
+                return False
+            x, y = made.get(a, -1), made.get(b, -1)
+            if x > y:
+                limit, a = x, pairs[x][1]
+            elif y >= 0:
+                limit, b = y + 1, pairs[y][0]
+            else:
+                return True
+
+    def _token(self, t: str) -> bool:
+        """Whether t is a token that its own bytes are encoded as."""
+        if t not in self.whole:
+            i = self.made.get(t)
+            self.whole[t] = t in self.vocab if i is None else self._apart(*self.pairs[i], i) and all(map(self._token, self.pairs[i]))
+        return self.whole[t]
+
+    def prefixes(self, word: str) -> list[int]:
+        """Tokens of word[:0], word[:1], ..., each as a word that ends there."""
+        last, opened, out, end, fits, vocab = [""], [0], [0], self.end, self.fits, self.vocab
+
+        def find(i: int, end: str) -> tuple[str, int]:
+            for n in range(min(i, self.longest), 0, -1):
+                t = word[i - n : i] + end
+                if t in vocab and self._token(t):
+                    if n == i:
+                        return t, 1
+                    pair = last[i - n], t
+                    ok = fits.get(pair)
+                    if ok is None:
+                        ok = fits[pair] = self._apart(*pair)
+                    if ok:
+                        return t, opened[i - n] + 1
+            raise ValueError(f"no token ends at {i} of {word!r}")
+
+        for i in range(1, len(word) + 1):
+            out.append(find(i, end)[1])
+            t, n = find(i, "")
+            last.append(t)
+            opened.append(n)
+        if len(fits) > 2_000_000:
+            fits.clear()
+        return out
+
+
+def _joins(ch: str) -> bool:
+    """Whether ch can be composed with or ordered among the characters before it."""
+    return unicodedata.category(ch)[0] == "M" or "\u1160" <= ch <= "\u11ff" or "\U00016d63" <= ch <= "\U00016d6a"
+
+
 class ChunkCounter:
-    """Exact token counts of chunks without white space, remembered."""
+    """Exact token counts of all prefixes of chunks without white space, remembered."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,7 +122,11 @@ class ChunkCounter:
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, int] = {}
+        told = json.loads(self.tokenizer.to_str())
+        self.merges = Merges(told["model"])
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in told["added_tokens"]) or "(?!)")
+        self.known: dict[bytes, np.ndarray] = {}
+        self.words: dict[str, list[int]] = {}
 
     @classmethod
     def shared(cls, vocabulary: str) -> ChunkCounter:
@@ -56,41 +134,107 @@ class ChunkCounter:
             _counters[vocabulary] = cls(vocabulary)
         return _counters[vocabulary]
 
+    def _word(self, word: str) -> list[int]:
+        found = self.words.get(word)
+        if found is None:
+            found = self.merges.prefixes(word)
+            if len(word) <= 64:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = found
+        return found
+
+    def _pieces(self, normal: str) -> list[tuple[str, tuple[int, int]]]:
+        return self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+
+    def _plain(self, text: str) -> list[int]:
+        """Tokens of text[:0], text[:1], ... without added tokens."""
+        normalize = self.tokenizer.normalizer.normalize_str
+        ends, odd = None, []
+        if text.isascii() and text.isprintable():
+            normal = text.lower()
+        else:
+            normal, ends, at = "", [0], 0
+            while at < len(text):
+                to = at + 1
+                while to < len(text) and _joins(text[to]):
+                    to += 1
+                odd += [(j, len(normal), normalize(text[at:j])) for j in range(at + 1, to)]
+                normal += normalize(text[at:to])
+                ends += [len(normal)] * (to - at)
+                at = to
+        counts, total, starts, before = [0], 0, [], []
+        for word, (a, b) in self._pieces(normal):
+            counts += [total] * (a + 1 - len(counts))
+            starts.append(a)
+            before.append(total)
+            table = self._word(word)
+            if len(word) == b - a:
+                counts += [total + n for n in table[1:]]
+            else:
+                counts += [total + table[n] for n in accumulate(len(ch.encode()) for ch in normal[a:b])]
+            if b - a == 3 and word in ("'re", "'ve", "'ll"):  # only whole contractions are words
+                counts[a + 2] = total + self._word("'")[-1] + self._word(word[1])[-1]
+            total += table[-1]
+        counts += [total] * (len(normal) + 1 - len(counts))
+        if ends is None:
+            return counts
+        out = [counts[e] for e in ends]
+        for j, at, tail in odd:  # a prefix that ends inside a composed character: its last two words are cut anew
+            k = max(0, bisect_right(starts, at - 1) - 2)
+            start, have = (starts[k], before[k]) if starts and starts[k] < at else (at, counts[at])
+            out[j] = have + sum(self._word(w)[-1] for w, _ in self._pieces(normal[start:at] + tail))
+        return out
+
+    def prefixes(self, chunk: str) -> np.ndarray:
+        """Tokens of chunk[:0], chunk[:1], ..."""
+        out, at = [0], 0
+        for m in self.special.finditer(chunk):
+            base = out.pop()
+            part = self._plain(chunk[at : m.end() - 1])
+            out += [base + n for n in part]
+            out.append(base + part[m.start() - at] + 1)
+            at = m.end()
+        base = out.pop()
+        return np.array(out + [base + n for n in self._plain(chunk[at:])], dtype=np.int32)
+
     def learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks.difference(self.known))
+        new = chunks.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(chunks)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
-            self.known.update(zip(part, map(len, found)))
+            self.known, new = {}, chunks
+        for x in new:
+            self.known[x] = self.prefixes(x.decode("utf-8", "replace"))
 
-    def of(self, chunk: bytes) -> int:
+    def table(self, chunk: bytes) -> np.ndarray:
         if chunk not in self.known:
             self.learn({chunk})
         return self.known[chunk]
 
     def totals(self, texts: list[bytes | None]) -> list[int]:
+        """The last entry of each text's prefix table: the entries of its chunks' tables, added up."""
         split = [(x or b"").split() for x in texts]
-        self.learn(set().union(*split))
-        get = self.known.__getitem__
-        return [sum(map(get, words)) for words in split]
+        words = set().union(*split)
+        self.learn(words)
+        last = {w: int(self.known[w][-1]) for w in words}
+        return [sum(map(last.__getitem__, words)) for words in split]
 
 
 class PrefixTable:
-    """The exact token count of every prefix of one text."""
+    """The exact token count of every prefix of one text: that before each chunk and, inside, its chunk's table."""
 
     def __init__(self, text: str, counter: ChunkCounter):
-        self.text, self.counter = text, counter
-        self.starts, self.chunks, at = [], [], 0
-        for raw in text.encode().split():
+        self.text = text
+        self.starts, self.chunks, self.tables, at = [], [], [], 0
+        split = text.encode().split()
+        counter.learn(set(split))
+        for raw in split:
             chunk = raw.decode()
             at = text.index(chunk, at)
             self.starts.append(at)
             self.chunks.append(chunk)
+            self.tables.append(counter.table(raw))
             at += len(chunk)
-        counter.learn({c.encode() for c in self.chunks})
-        self.before = [0, *accumulate(counter.of(c.encode()) for c in self.chunks)]
+        self.before = [0, *accumulate(int(t[-1]) for t in self.tables)]
 
     def count(self, end: int | None = None) -> int:
         """Tokens of text[:end]."""
@@ -98,8 +242,15 @@ class PrefixTable:
         k = bisect_right(self.starts, end - 1) - 1
         if k < 0:
             return 0
-        piece = self.chunks[k][: end - self.starts[k]]
-        return self.before[k] + self.counter.of(piece.encode())
+        return self.before[k] + int(self.tables[k][min(end - self.starts[k], len(self.chunks[k]))])
+
+    def counts(self) -> np.ndarray:
+        """Tokens of text[:0], text[:1], ..."""
+        out = np.zeros(len(self.text) + 1, dtype=np.int32)
+        for k, (start, table) in enumerate(zip(self.starts, self.tables)):
+            out[start : start + len(table)] = self.before[k] + table
+            out[start + len(table) :][: (self.starts[k + 1] if k + 1 < len(self.starts) else len(out)) - start - len(table)] = self.before[k + 1]
+        return out
 
     def truncate(self, budget: int) -> int:
         """The length of the longest prefix of at most `budget` tokens that ends with a chunk or
@@ -107,11 +258,10 @@ class PrefixTable:
         k = bisect_right(self.before, budget) - 1
         if k >= len(self.chunks):
             return len(self.text)
-        best = self.starts[k - 1] + len(self.chunks[k - 1]) if k else 0
-        for n in range(len(self.chunks[k]), 0, -1):
-            if self.count(self.starts[k] + n) <= budget:
-                return self.starts[k] + n
-        return best
+        fit = np.flatnonzero(self.tables[k][1:] <= budget - self.before[k])
+        if len(fit):
+            return self.starts[k] + int(fit[-1]) + 1
+        return self.starts[k - 1] + len(self.chunks[k - 1]) if k else 0
 
     def windows(self, budget: int) -> list[tuple[int, int]]:
         """Runs of whole chunks of at most `budget` tokens each; a larger chunk stands alone."""
@@ -145,18 +295,14 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULA
 
 
 def prefix_tables(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ends (code points after each chunk) and counts (tokens up to there): the stored table
+    """id_col and counts (tokens of each prefix by its code points, from 0 on): the stored table
     that answers budget questions later without an encoding."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def build(batches):
         counter = ChunkCounter.shared(vocabulary)
         for batch in batches:
-            ends, counts = [], []
-            for x in batch.column(1).to_pylist():
-                t = PrefixTable(x or "", counter)
-                ends.append([s + len(c) for s, c in zip(t.starts, t.chunks)])
-                counts.append(t.before[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["id", "ends", "counts"])
-
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(lean(build), f"id {kind}, ends array<bigint>, counts array<bigint>").withColumnRenamed("id", id_col)
+            counts = [PrefixTable(x or "", counter).counts() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int32()))], names=["id", "counts"])
+
+    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(lean(build), f"id {kind}, counts array<int>").withColumnRenamed("id", id_col)
