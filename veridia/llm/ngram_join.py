@@ -9,12 +9,13 @@ The result is exact up to equal 64-bit shingle hashes; no candidate, partner or
    are linked to it on the spot; what is left of a group meets in one task and is joined exactly.
 2. Groups are merged along the links that were found; a group is now a connected part.
 3. Token-group matrix: each set has a prefix of its tokens, common tokens last, which any partner
-   must share LEAST tokens of.  Tokens are looked up for the nodes and groups that have them in
-   their prefix.  Rare tokens give pairs of nodes; tokens with long lists give pairs of a node
-   and a group, however many members of the group have the token, and the smaller group asks.
-4. Only pairs with LEAST shared tokens whose ends aren't in one group yet are opened: the group's
-   members are stacked in blocks with the union of their tokens; a query whose overlap with the
-   union is too small skips the block, others are compared with the members until one links.
+   must share LEAST tokens of.  Rare tokens, in at most LONG_LIST prefixes, take a plain
+   prefix-filter join: each pair of a list is made, as that is at most LONG_LIST nodes wide, and
+   pairs with LEAST shared tokens are compared one by one.  Only nodes of longer lists are
+   stacked in blocks (a large part's by themselves); a block asks the blocks that share a token.
+4. What is asked is opened unless both ends are in one group: a block has the union of its members'
+   tokens; a query whose overlap with the union is too small skips the block, others are compared
+   with the members.
 
 Texts travel once by group and once by id, compressed, and only lists of tokens besides.
 
