@@ -24,17 +24,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Folders that materialise wrote and nothing deleted yet, in order.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and outlives lost executors."""
     path = new_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+        _written[:] = [w for w in _written if not folder.endswith(w.split(":", 1)[-1])]
+
+
+def written() -> set[str]:
+    """Folders of all materialised tables that are still there."""
+    return set(_written)
+
+
+def discard(spark: SparkSession, before: set[str], keep: DataFrame) -> None:
+    """Delete what was materialised since `before`, but for the table `keep`."""
+    own = {f.rsplit("/", 1)[0] for f in keep.inputFiles()}
+    for folder in [w for w in _written if w not in before and not any(f.endswith(w.split(":", 1)[-1]) for f in own)]:
+        _delete(spark, folder)
+        _written.remove(folder)
