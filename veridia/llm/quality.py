@@ -6,7 +6,8 @@ gathers for all rows and trees at once.  The model is fitted on a bounded, repea
 the labelled rows; scoring reads every row once, without a shuffle.
 
 Defined results: null text counts as empty; empty texts get the score of their statistics (zeros);
-several labels of one document count by their mean; null labels are left out; where nothing can be
+several labels of one document count by their mean; null labels are left out; of several labelled rows
+with one id the one with the smallest statistics is learned from; where nothing can be
 learned, the score is the share of label 1, or 0.5; rows are scored independently.
 """
 
@@ -133,22 +134,27 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text, label of about `rows` labelled rows of docs at most, chosen by a hash of the id. usable: a condition on id_col."""
-    given = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("label")).where(F.col("label").isNotNull() & F.col(id_col).isNotNull()).where(usable)
+    """id, label, text of the documents of about `rows` labelled ids at most, chosen by a hash of the id. usable: a
+    condition on id_col. The ids, as many as `rows` says, are broadcast, so no other document leaves its scan."""
+    given = labels.where(usable).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("label is not null and id is not null")
     n = given.count()
-    chosen = given.where(uniform(id_col) < min(1.0, rows / max(1, n))).groupBy(id_col).agg(F.avg("label").alias("label"))
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where(uniform(id_col) < min(1.0, rows / max(1, n))).where(usable)
-    return texts.join(chosen, id_col).select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    chosen = given.where(uniform("id") < min(1.0, rows / max(1, n))).groupBy("id").agg(F.avg("label").alias("label"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str, usable, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Forest:
+    """Statistics are taken where a text is read; one row of FEATURES numbers for each of about `rows` ids comes to the driver."""
+    sample = labelled_sample(docs, labels, label_col, usable, rows, id_col, text_col)
+    kind = sample.schema["id"].dataType.simpleString()
+
     def measure(batches):
         for batch in batches:
-            x = features(batch.column(0).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
+            x = features(batch.column(2).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "label", "x"])
 
-    # about `rows` rows of FEATURES numbers come to the driver
-    found = labelled_sample(docs, labels, label_col, usable, rows, id_col, text_col).mapInArrow(lean(measure), "x array<double>, label double").toPandas()
+    measured = sample.mapInArrow(lean(measure), f"id {kind}, label double, x array<double>")
+    found = measured.groupBy("id").agg(F.min(F.struct("label", "x")).alias("row")).select("row.label", "row.x").toPandas()
     x = np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), len(FEATURES))
     y = found["label"].to_numpy(dtype=np.float64)
     order = np.lexsort((y, *x.T))  # the rows come in any order, sums of floating-point numbers depend on it
