@@ -166,7 +166,7 @@ def marked(spark, n=400):
 
 def test_quality(spark, empty):
     docs, labels = marked(spark)
-    forest = quality.learn(clashing(docs), clashing(labels).drop("label"), "quality", crc_mod("doc_id", 5) != 0)
+    forest = quality.learn(clashing(docs), clashing(labels), "quality", crc_mod("doc_id", 5) != 0)
     found = quality.score(clashing(docs), forest).collect()
     assert len(found) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in found)
     held = [r for r in found if r["doc_id"] is not None and 0 < r["doc_id"] < 400 and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
@@ -196,7 +196,7 @@ def test_trees_agree_with_a_walk():
 
 def test_toxicity(spark, empty):
     docs, labels = marked(spark)
-    model = toxicity.learn(clashing(docs), clashing(labels).drop("label"), "toxic", crc_mod("doc_id", 3) != 1)
+    model = toxicity.learn(clashing(docs), clashing(labels), "toxic", crc_mod("doc_id", 3) != 1)
     found = toxicity.score(clashing(docs), model).collect()
     assert len(found) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in found)
     held = [r for r in found if r["doc_id"] is not None and 0 < r["doc_id"] < 400 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
@@ -319,6 +319,9 @@ def test_dual_traversal_finds_each_pair_once():
     pairs = [(i, j) for p, q in cover_tree.dual_traversal(a, b) for i, j in zip(p.tolist(), q.tolist())]
     want = {(i, j) for i, j in zip(*np.nonzero(x[:130] @ x[130:].T >= 0.93))}
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    own = sorted((min(i, j), max(i, j)) for p, q in cover_tree.dual_traversal(a, a) for i, j in zip(p.tolist(), q.tolist()))
+    near = a.x @ a.x.T >= cover_tree.THRESHOLD
+    assert own == [(i, j) for i in range(130) for j in range(i + 1, 130) if near[i, j]]
 
 
 # ---- secrets -----------------------------------------------------------------------------------
@@ -372,8 +375,43 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     two = one.union(spark.createDataFrame([(4, "token: zzzzzzz"), (5, None)], one.schema))
     assert {r["doc_id"]: len(r["findings"]) for r in secrets.scan(two, ledger).collect()} == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
     assert spark.read.parquet(ledger).count() == 3
-    secrets.scan(two, ledger, version="2")
-    assert {(r["version"], r["count"]) for r in spark.read.parquet(ledger).groupBy("version").count().collect()} == {("1", 3), ("2", 3)}
+    fewer = secrets.RULES[:1]
+    assert {r["doc_id"]: len(r["findings"]) for r in secrets.scan(two, ledger, rules=fewer).collect()} == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
+    versions = {(r["version"], r["count"]) for r in spark.read.parquet(ledger).groupBy("version").count().collect()}
+    assert versions == {(secrets.version_of(secrets.RULES), 3), (secrets.version_of(fewer), 3)}
+
+
+def test_other_rules_and_doubled_ledgers(spark, tmp_path):
+    """Other rules don't meet stale findings; a blob that two scans recorded counts once."""
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "AKIA" + "Z9" * 10), (2, "none")], "doc_id bigint, text string")
+    secrets.scan(docs, ledger, rules=secrets.RULES[2:3])
+    assert {r["doc_id"]: len(r["findings"]) for r in secrets.scan(docs, ledger).collect()} == {1: 1, 2: 0}
+    again = spark.read.parquet(ledger)
+    again.write.mode("append").parquet(ledger + "2")
+    again.write.mode("append").parquet(ledger + "2")
+    assert sorted(len(r["findings"]) for r in secrets.scan(docs, ledger + "2").collect()) == [0, 1]
+
+
+def test_history_of_versions(spark, tmp_path):
+    """Two commits one after the other: only new blobs are scanned, findings reach all paths of all versions."""
+    ledger, schema = str(tmp_path / "ledger"), "path string, version int, text string, findings string"
+    first = spark.createDataFrame([("a", 1, "token: abcdefgh", "x"), ("b", 1, "plain", "x")], schema)
+    second = first.union(spark.createDataFrame([("a", 2, "plain", "x"), ("c", 2, "token: abcdefgh", "x"), ("d", 2, "secret=zzzzzzzz", "x")], schema))
+    secrets.scan(first, ledger, id_col=["path", "version"])
+    assert spark.read.parquet(ledger).count() == 2
+    got = {(r["path"], r["version"]): len(r["findings"]) for r in secrets.scan(second, ledger, id_col=["path", "version"]).collect()}
+    assert got == {("a", 1): 1, ("b", 1): 0, ("a", 2): 0, ("c", 2): 1, ("d", 2): 1} and spark.read.parquet(ledger).count() == 3
+    masked = secrets.redact(second)
+    assert masked.columns == second.columns and sorted(r["text"] for r in masked.collect()) == ["[SECRET]", "[SECRET]", "[SECRET]", "plain", "plain"]
+
+
+def test_private_keys_go_with_their_bodies():
+    body = "\n".join(["MIIE" + "aB3/" * 15] * 3)
+    for text, rest in ((f"x -----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY----- y", "x  y"), (f"x -----BEGIN PRIVATE KEY-----\n{body}\ncut off here", "x \ncut off here")):
+        (kind, a, b), *_ = [f for f in secrets.find(text) if f[0] == "private_key"]
+        assert text[:a] + text[b:] == rest
+    assert [k for k, *_ in secrets.find("https://" + "u" * 300 + ":" + "p" * 300 + "@host/")] == ["url_password"]
 
 
 # ---- chat --------------------------------------------------------------------------------------
@@ -412,6 +450,21 @@ def test_layouts(spark):
     for i in range(5):
         assert got[i] == [("user", "q"), ("assistant", "a")]
     assert got[5] == got[9] == got[10] == [(None, None)]
+    mixed = [
+        ({"messages": [{"role": "user", "content": "q"}, {"from": "gpt", "value": "a"}]}, [("user", "q", None), ("assistant", "a", None)]),
+        ({"prompt": "q", "response": "a", "system": "s", "question": "other"}, [("system", "s", None), ("user", "q", None), ("assistant", "a", None), (None, "other", "unmapped")]),
+        ({"system": "s", "messages": [{"role": "user", "content": "q"}, {"who": "x", "says": "y"}]}, [("system", "s", None), ("user", "q", None), (None, '{"who":"x","says":"y"}', "element")]),
+        ({"messages": "no list"}, [(None, "no list", "element")]),
+        ({"messages": []}, []),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r), "x") for i, (r, _) in enumerate(mixed)], "conv_id bigint, record string, layout string")
+    got = defaultdict(list)
+    for r in chat.canonical_records(df, "record").orderBy("conv_id", F.col("turn").asc_nulls_last()).collect():
+        got[r["conv_id"]] += [(r["role"], r["text"], r["problem"])] if r["turn"] is not None or r["problem"] else []
+    for i, (_, want) in enumerate(mixed):
+        assert got[i] == want, i
+    rows = spark.createDataFrame([(1, 0, "user", "q", "x", "y")], "conv_id bigint, turn int, role string, text string, prompt string, system string")
+    assert [tuple(r) for r in chat.canonical_turns(rows).collect()] == [(1, 0, "user", "q")]
     typed = spark.createDataFrame([(1, [("human", "q"), ("gpt", None)])], "conv_id bigint, conversations array<struct<`from`:string,value:string>>")
     assert [tuple(r) for r in chat.canonical_turns(typed).select("role", "text").collect()] == [("user", "q"), ("assistant", "")]
     with pytest.raises(ValueError):
@@ -429,8 +482,43 @@ def test_token_counts(spark, docs, empty):
     rows = df.collect()
     want = sorted((r["doc_id"] or -1, len((r["text"] or "").encode()), encode(r["text"]), encode(r["text"]) > 2048) for r in rows)
     got = token_counts.token_counts(clashing(df)).collect()
-    assert sorted((r[0] or -1, *r[1:]) for r in got) == want
+    assert sorted((r[0] or -1, *r[1:4]) for r in got) == want
     assert token_counts.token_counts(empty).count() == 0
+    texts, limit = [r["text"] or "" for r in rows if r["doc_id"] != 110], 7
+    short = token_counts.token_counts(df.where("doc_id is null or doc_id <> 110"), limit=limit).select("n_tokens", "limit_chars").collect()
+    assert sorted(tuple(r) for r in short) == sorted((encode(x), token_counts.PrefixTable(x, counter).truncate(limit)) for x in texts)
+
+
+def test_words_together_equal_words_alone():
+    """The tables made in numpy against those made letter by letter."""
+    counter = token_counts.ChunkCounter()
+    rnd = random.Random(8)
+    words = sorted({"".join(rnd.choice("etaoinshrdlu" if rnd.random() < 0.8 else "àğĠ!#xqz") for _ in range(rnd.randint(1, token_counts.LANE))) for _ in range(3000)})
+    words = [w for w in words if all(ch in counter.merges.vocab for ch in w)]
+    made, begin = counter.merges.lanes(words)
+    assert len(words) > 2000
+    for w, at in zip(words, begin):
+        assert made[at : at + len(w) + 1].tolist() == counter.merges.prefixes(w), w
+
+
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies_are_counted_whole(spark, vocabulary):
+    texts = ["Hello  world, it's 12345\n\n x", "", None, "é 漢字 <|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r["n_tokens"] for r in sorted(token_counts.token_counts(df, vocabulary=vocabulary).collect())]
+    path = token_counts.vocabulary_path(vocabulary)
+    if vocabulary.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        want = [len(model.encode(x or "")) for x in texts]
+    else:
+        from tokenizers import Tokenizer
+
+        want = [len(Tokenizer.from_file(path).encode(x or "", add_special_tokens=False).ids) for x in texts]
+    assert got == want
+    with pytest.raises(ValueError):
+        token_counts.ChunkCounter.shared(vocabulary)
 
 
 @settings(max_examples=30, deadline=None)

@@ -55,7 +55,8 @@ def test_stages(spark, folder):
         sizes[source[i]] = sizes.get(source[i], 0) + len(x.split())
     target = mixing.targets(sizes)
     got = docs.collect()
-    assert {r["doc_id"] for r in got} <= set(want)
+    assert {r["doc_id"] for r in got} <= set(want) and all(r["text"] == want[r["doc_id"]] for r in got)
+    assert set(columns) <= set(got[0].asDict())
     for s in sizes:
         assert abs(sum(r["taken"] for r in got if r["source"] == s) - target[s]) <= 45
     ran = {(r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, sf_dir).collect()}
@@ -64,5 +65,5 @@ def test_stages(spark, folder):
 
 def test_pipeline_shape():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_join", "decontamination", "secrets", "mixing"]
-    assert corpus_pipeline.ORACLE_SQL is None and secrets.VERSION
+    assert corpus_pipeline.ORACLE_SQL is None and secrets.RULES
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)

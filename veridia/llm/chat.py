@@ -1,8 +1,11 @@
 r"""Chat formatting (operator 7), with DataFrame functions only.
 
-Layouts are recognised by a fingerprint: the sorted nested field paths of a schema (typed tables) or
-of each JSON record, hashed.  A fingerprint selects a declarative mapping (LAYOUTS) that says which
-path holds the messages, roles and texts; it becomes canonical turns (conversation, turn, role, text).
+Layouts are recognised by fingerprints: the sorted nested field paths of a schema (typed tables), of
+each JSON record and of each element of its list of messages, hashed.  A fingerprint selects a
+declarative mapping (LAYOUTS, ELEMENTS) that says which path holds the messages, roles and texts; it
+becomes canonical turns (conversation, turn, role, text).  A layout fits if what is there of its own
+paths has its fingerprint; of several that fit the first of LAYOUTS counts, and fields that only
+others would have read are reported, so no text gets lost.
 
 Template: `<|im_start|>role\ntext<|im_end|>\n` for each turn.  Inside roles and texts `&`, `<` and `[`
 are written as entities (in roles also line feeds), so no control string of this or another template
@@ -11,8 +14,11 @@ the formatted text that cover each assistant text and nothing else.
 
 Defined results: null text is empty, null role is an empty role; rows of a conversation go by turn,
 then role, then text, null turns first; repeated rows are turns of their own; rows without an id form
-one conversation; a record with an unknown layout keeps its id and has no turns.  A conversation is
-one string, so all its turns meet in one task.
+one conversation; columns of a typed table that its layout doesn't name are left alone.  A record
+with an unknown layout keeps its id and has a row with problem `layout`; an element of unknown shape
+is a row with problem `element` and its JSON as text; a known field that the layout doesn't use and
+that isn't empty is a row with problem `unmapped` and its name.  A conversation is one string, so all
+its turns meet in one task.
 """
 
 from __future__ import annotations
@@ -47,30 +53,26 @@ class Layout:
         return sorted({f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"} if self.messages else {p for _, p in self.fields})
 
 
-#: The layouts that are known; the names roles have in them.
+#: The layouts that are known, those with more fields before those with fewer; the names roles have in them.
 LAYOUTS = [
     Layout("turn rows", rows=("conv_id", "turn", "role", "text")),
     Layout("role and content", messages="messages", role="role", text="content"),
     Layout("from and value", messages="conversations", role="from", text="value"),
     Layout("role and text", messages="turns", role="role", text="text"),
+    Layout("system, prompt and response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("instruction with input", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("instruction", fields=(("user", "instruction"), ("assistant", "output"))),
     Layout("prompt and response", fields=(("user", "prompt"), ("assistant", "response"))),
     Layout("prompt and completion", fields=(("user", "prompt"), ("assistant", "completion"))),
-    Layout("system, prompt and response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("question and answer", fields=(("user", "question"), ("assistant", "answer"))),
 ]
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-_KNOWN = sorted({p for layout in LAYOUTS for p in layout.paths})
-_LISTS = sorted({layout.messages for layout in LAYOUTS if layout.messages})
+#: Where an element of a list of messages has its role and its text.
+ELEMENTS = [("role", "content"), ("from", "value"), ("role", "text"), ("role", "value"), ("from", "content"), ("from", "text")]
 
 
 def fingerprint(paths: list[str]) -> str:
-    """Of the paths that some layout knows; others don't matter."""
-    return hashlib.sha256("\n".join(sorted(set(paths) & set(_KNOWN))).encode()).hexdigest()
-
-
-BY_FINGERPRINT = {fingerprint(layout.paths): layout for layout in LAYOUTS}
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
 def schema_paths(schema: T.StructType, above: str = "") -> list[str]:
@@ -84,9 +86,10 @@ def schema_paths(schema: T.StructType, above: str = "") -> list[str]:
 
 
 def layout_of(schema: T.StructType) -> Layout:
-    found = BY_FINGERPRINT.get(fingerprint(schema_paths(schema)))
+    there = set(schema_paths(schema))
+    found = next((layout for layout in LAYOUTS if fingerprint(there & set(layout.paths)) == fingerprint(layout.paths)), None)
     if found is None:
-        raise ValueError(f"no layout has the fields {schema_paths(schema)}")
+        raise ValueError(f"no layout has the fields {sorted(there)}")
     return found
 
 
@@ -95,14 +98,6 @@ def _role(role: Column) -> Column:
     return F.coalesce(named[F.lower(role)], role, F.lit(""))
 
 
-def _message(layout: Layout):
-    return lambda m: F.struct(_role(m[layout.role]).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text"))
-
-
-def _under(path: str):
-    return lambda k: F.concat(F.lit(f"{path}[]."), k)
-
-
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, text of a typed table in any of the LAYOUTS."""
     layout = layout_of(df.schema)
@@ -117,27 +112,56 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return each.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "m.role", "m.text")
 
 
+def _mark(keys: Column, names: list[str]) -> Column:
+    """The fingerprint of those of the names that are among the keys."""
+    return F.sha2(F.array_join(F.array_sort(F.array_intersect(keys, F.array(*[F.lit(n) for n in sorted(set(names))]))), "\n"), 256)
+
+
+def _keys(json: Column) -> Column:
+    return F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+
+
+def _turn(role: Column, text: Column, problem: Column | None = None, field: Column | None = None) -> Column:
+    nothing = F.lit(None).cast("string")
+    return F.struct(role.alias("role"), text.alias("text"), (nothing if problem is None else problem).alias("problem"), (nothing if field is None else field).alias("field"))
+
+
+def _element(e: Column) -> Column:
+    """The turn of one element of a list, by the fingerprint of its own fields."""
+    keys, nothing = _keys(e), F.lit(None).cast("string")
+    out = _turn(nothing, e, F.lit("element"))
+    for role, text in reversed(ELEMENTS):
+        fits = _mark(keys, [role, text]) == fingerprint([role, text])
+        out = F.when(fits, _turn(_role(F.get_json_object(e, f"$.{role}")), F.coalesce(F.get_json_object(e, f"$.{text}"), F.lit("")))).otherwise(out)
+    return out
+
+
 def canonical_records(df: DataFrame, record_col: str, id_col: str = "conv_id") -> DataFrame:
-    """The same for a column of JSON records in mixed layouts: each record's own field paths are
-    hashed and its mapping is looked up. Records of unknown layout give one row without a turn."""
-    record = F.col(record_col)
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    inner = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{m}[0]")), F.array().cast("array<string>")), _under(m)) for m in _LISTS]
-    known = F.array_intersect(F.concat(keys, *inner), F.array(*[F.lit(p) for p in _KNOWN]))
-    mark = F.sha2(F.array_join(F.array_sort(known), "\n"), 256)
-    message = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for layout in LAYOUTS:
-        if layout.rows:
-            continue
+    """The same for a column of JSON records in mixed layouts, with fingerprint (of the record's known
+    fields), layout (its name), problem and field; rows without a problem are the turns."""
+    record, kind = F.col(record_col), "array<struct<role:string,text:string,problem:string,field:string>>"
+    keys, nothing = _keys(record), F.lit(None).cast("string")
+    layouts = [layout for layout in LAYOUTS if not layout.rows]
+    tops = {layout.name: [layout.messages] if layout.messages else [p for _, p in layout.fields] for layout in layouts}
+    known = sorted({p for names in tops.values() for p in names})
+    name, got = nothing, F.array(_turn(nothing, nothing, F.lit("layout"))).cast(kind)
+    for layout in reversed(layouts):
+        fits = _mark(keys, tops[layout.name]) == fingerprint(tops[layout.name])
+        used = list(tops[layout.name])
+        fields = list(layout.fields)
+        if layout.messages:  # a system text may stand beside the list
+            used, fields = [*used, "system"], [("system", "system")]
+        turns = F.array(*[_turn(F.lit(r), F.coalesce(F.get_json_object(record, f"$.{p}"), F.lit(""))) for r, p in fields])
+        turns = F.filter(turns, lambda m: (m["text"] != "") | (m["role"] == ASSISTANT))
         if layout.messages:
-            kind = f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
-            got = F.transform(F.from_json(F.get_json_object(record, f"$.{layout.messages}"), kind), _message(layout))
-        else:
-            got = F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(F.get_json_object(record, f"$.{p}"), F.lit("")).alias("text")) for r, p in layout.fields])
-            got = F.filter(got, lambda m: (m["text"] != "") | (m["role"] == ASSISTANT))
-        message = F.when(mark == fingerprint(layout.paths), got).otherwise(message)
-    each = df.select(F.col(id_col).alias("conv_id"), mark.alias("fingerprint"), F.posexplode_outer(message).alias("turn", "m"))
-    return each.select("conv_id", "fingerprint", F.col("turn").cast("bigint").alias("turn"), "m.role", "m.text")
+            raw = F.get_json_object(record, f"$.{layout.messages}")
+            whole = F.when(raw.isNull(), F.array().cast(kind)).otherwise(F.array(_turn(nothing, raw, F.lit("element"))).cast(kind))
+            turns = F.concat(turns, F.coalesce(F.transform(F.from_json(raw, "array<string>"), _element).cast(kind), whole))
+        rest = [F.when(F.get_json_object(record, f"$.{p}") != "", _turn(nothing, F.get_json_object(record, f"$.{p}"), F.lit("unmapped"), F.lit(p))) for p in known if p not in used]
+        turns = F.concat(turns.cast(kind), F.filter(F.array(*rest), lambda m: m.isNotNull()).cast(kind))
+        name, got = F.when(fits, F.lit(layout.name)).otherwise(name), F.when(fits, turns).otherwise(got)
+    each = df.select(F.col(id_col).alias("conv_id"), _mark(keys, known).alias("fingerprint"), name.alias("layout"), F.posexplode_outer(got).alias("turn", "m"))
+    return each.select("conv_id", "fingerprint", "layout", F.when(F.col("m.problem").isNull() & F.col("m").isNotNull(), F.col("turn").cast("bigint")).alias("turn"), "m.role", "m.text", "m.problem", "m.field")
 
 
 def escape(text: Column) -> Column:

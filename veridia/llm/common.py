@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridia.storage import materialise, new_path, remove, shared_dir  # noqa: F401  what the operators take from here
+from veridia.storage import discard, materialise, new_path, remove, shared_dir, written  # noqa: F401  what the operators take from here
 
 #: Words of ``[^\x20\x09-\x0D]+``; bytes.split() splits on the same six characters.
 SPACES = r"[\x20\x09-\x0D]+"

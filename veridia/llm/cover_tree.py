@@ -5,13 +5,16 @@ vectors at cosine c are sqrt(2 - 2c) apart, so the threshold is a radius and the
 prunes.
 
 1. Equal vectors of a label become one class with a count.
-2. The classes of a label are dealt to cells around a few of them (the nearest pivot; large cells are
-   cut into blocks).  Pairs of cells whose pivots are farther apart than both covering radii and the
-   threshold are dropped; the others meet, block by block, in tasks of bounded size.
-3. In a task each block is a cover tree: nodes of one level have half the radius of the level above
-   and keep the largest distance to a member.  Pairs of nodes are descended together: those out of
+2. Over a whole label the tree's upper levels are columns of a table: a node that is too large is dealt
+   to the nearest of up to FANOUT pivots from among its members, more than half the node's radius apart; each node
+   keeps the largest distance to a member as measured.  There are as many levels as the largest label needs.
+3. The traversal goes down these levels as joins: pairs of nodes whose children are farther apart than
+   both covering radii and the threshold are dropped at each level.  Leaves are cut into blocks; pairs of blocks
+   are rows, made where the pairs of leaves are, and meet in tasks of bounded size.
+4. In a task each block is a cover tree: levels with halving radii, centers nested, nodes with the
+   largest distance to a member.  Pairs of nodes are descended together, each once: those out of
    reach are pruned, those that lie wholly within the threshold link entirely, the rest go down.
-4. Links are counted for each class and thinned to a spanning forest in the task; components are
+5. Links are counted for each class and thinned to a spanning forest in the task; components are
    found over the classes.
 
 Without structure in the vectors (all far from each other) nothing can be pruned above the leaves and
@@ -26,52 +29,55 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridia.operators.components import connected_components
 
-from .common import lean, materialise
+from .common import lean, materialise, remove
 
 THRESHOLD = 0.93
 BLOCK = 2048
-MOST_PIVOTS = 64
+#: Children of a node at most, and members from among which they are chosen.
+FANOUT, CANDIDATES = 64, 256
 LEAF = 12
 #: Slack for rounding where a bound, not the cosine itself, decides.
 EPSILON = 1e-9
 
 
 class Node:
-    __slots__ = ("center", "members", "radius", "children")
+    """scale: the radius of its level, which bounds its own."""
 
-    def __init__(self, center: int, members: np.ndarray, radius: float):
-        self.center, self.members, self.radius, self.children = center, members, radius, None
+    __slots__ = ("center", "members", "radius", "scale", "children")
+
+    def __init__(self, center: int, members: np.ndarray, radius: float, scale: float):
+        self.center, self.members, self.radius, self.scale, self.children = center, members, radius, scale, None
 
 
 class CoverTree:
-    """Over unit vectors. Node 0 of each level's split keeps its parent's center (nesting)."""
+    """Over unit vectors. Each level's radius is half of that above; the first child of a node keeps its center
+    (nesting). Levels at which a node would be its own only child are passed over."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
         everything = np.arange(len(x))
-        self.root = Node(0, everything, self._reach(0, everything))
-        self.level = 2.0
+        far = float(self._apart(0, everything).max()) if len(x) > 1 else 0.0
+        self.root = Node(0, everything, far, 2.0)
 
     def _apart(self, center: int, members: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, 2 - 2 * (self.x[members] @ self.x[center])))
 
-    def _reach(self, center: int, members: np.ndarray) -> float:
-        return float(self._apart(center, members).max()) if len(members) > 1 else 0.0
-
     def children(self, node: Node) -> list[Node]:
-        """A net of half the radius; split on first use."""
+        """The node's net on the next level; split on first use."""
         if node.children is None:
-            node.children, rest, center, bound = [], node.members, node.center, node.radius / 2
+            node.children, rest, center, bound = [], node.members, node.center, node.scale / 2
+            while node.radius <= bound:
+                bound /= 2
             while len(rest):
                 d = self._apart(center, rest)
                 near = (d <= bound) | (rest == center)
                 mine = rest[near]
-                node.children.append(Node(center, mine, float(d[near].max()) if len(mine) > 1 else 0.0))
+                node.children.append(Node(center, mine, float(d[near].max()) if len(mine) > 1 else 0.0, bound))
                 rest = rest[~near]
                 if len(rest):
                     center = int(rest[0])
@@ -79,29 +85,33 @@ class CoverTree:
 
 
 def dual_traversal(a: CoverTree, b: CoverTree, threshold: float = THRESHOLD):
-    """Yields pairs of index arrays (i, j) with cosine >= threshold, each pair once."""
+    """Yields pairs of index arrays (i, j) with cosine >= threshold, each pair once; a tree with itself: i and j differ."""
     reach = float(np.sqrt(2 - 2 * threshold))
     todo = [(a.root, b.root)]
     while todo:
         p, q = todo.pop()
+        same = p is q
         down = [n.radius > 0 and len(n.members) > LEAF for n in (p, q)]
         if not any(down):
-            i, j = np.nonzero(a.x[p.members] @ b.x[q.members].T >= threshold)
+            near = a.x[p.members] @ b.x[q.members].T >= threshold
+            i, j = np.nonzero(np.triu(near, 1) if same else near)
             yield p.members[i], q.members[j]
             continue
         ps = a.children(p) if down[0] else [p]
-        qs = b.children(q) if down[1] else [q]
+        qs = ps if same else b.children(q) if down[1] else [q]
         dots = a.x[[n.center for n in ps]] @ b.x[[n.center for n in qs]].T
         apart = np.sqrt(np.maximum(0, 2 - 2 * dots))
         rp, rq = np.array([n.radius for n in ps])[:, None], np.array([n.radius for n in qs])[None, :]
         lone = np.array([len(n.members) == 1 for n in ps])[:, None] & np.array([len(n.members) == 1 for n in qs])[None, :]
-        i, j = np.nonzero(lone & (dots >= threshold))
+        open_ = np.triu(np.ones(dots.shape, dtype=bool)) if same else np.ones(dots.shape, dtype=bool)
+        own = np.eye(len(ps), dtype=bool) if same else np.zeros(dots.shape, dtype=bool)
+        i, j = np.nonzero(open_ & lone & ~own & (dots >= threshold))
         if len(i):
             yield np.array([ps[k].center for k in i]), np.array([qs[k].center for k in j])
-        inside = ~lone & (apart + rp + rq <= reach - 1e-6)
+        inside = open_ & ~lone & ~own & (apart + rp + rq <= reach - 1e-6)
         for k, m in zip(*np.nonzero(inside)):
             yield np.repeat(ps[k].members, len(qs[m].members)), np.tile(qs[m].members, len(ps[k].members))
-        for k, m in zip(*np.nonzero(~lone & ~inside & (apart - rp - rq <= reach + EPSILON))):
+        for k, m in zip(*np.nonzero(open_ & ~lone & ~inside & (apart - rp - rq <= reach + EPSILON))):
             todo.append((ps[k], qs[m]))
 
 
@@ -141,46 +151,55 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "vec"])
 
 
+def _pivots(block: int):
+    """From rows (label, dim, cell, size, far, candidates): the node's pivots, concatenated; the candidates come in order of a hash."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for size, far, joined, dim in zip(*(batch.column(c).to_pylist() for c in ("size", "far", "candidates", "dim"))):
+                step, want = 8 * dim, min(FANOUT, -(-size // block))
+                x = unit([joined[k : k + step] for k in range(0, len(joined), step)])
+                kept, near = [0], 2 - 2 * (x @ x[0])
+                while len(kept) < want:  # the next candidate that is farther than half the radius from all so far
+                    rest = np.flatnonzero(near > (far / 2) ** 2)
+                    if not len(rest):
+                        break
+                    kept.append(int(rest[0]))
+                    near = np.minimum(near, 2 - 2 * (x @ x[kept[-1]]))
+                out.append(b"".join(joined[k * step : (k + 1) * step] for k in kept))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "dim", "cell")), pa.array(out, pa.binary())], names=["label", "dim", "cell", "pivots"])
+
+    return run
+
+
 def _nearest(batches):
-    """cell and distance of each class, from its label's pivots (concatenated)."""
+    """The child node and the distance to its pivot of each class, from the pivots of its node (concatenated)."""
     for batch in batches:
-        cells, far = [], []
+        cells, far, centers = [], [], []
         last, pivots = None, None
-        for vec, joined in zip(batch.column("vec").to_pylist(), batch.column("pivots").to_pylist()):
+        for cell, vec, joined in zip(*(batch.column(c).to_pylist() for c in ("cell", "vec", "pivots"))):
             if joined is not last and joined != last:
                 last, pivots = joined, unit([joined[k : k + len(vec)] for k in range(0, len(joined), len(vec))])
             d = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ unit([vec])[0])))
-            cells.append(int(d.argmin()))
-            far.append(float(d.min()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "label", "dim", "vec", "n")), pa.array(cells, pa.int32()), pa.array(far)], names=["rid", "label", "dim", "vec", "n", "cell", "far"])
+            k = int(d.argmin())
+            cells.append(f"{cell}.{k}")
+            far.append(float(d[k]))
+            centers.append(joined[k * len(vec) : (k + 1) * len(vec)])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "label", "dim", "vec", "n")), pa.array(cells, pa.string()), pa.array(far), pa.array(centers, pa.binary())], names=["rid", "label", "dim", "vec", "n", "cell", "far", "center"])
 
 
-def _cell_pairs(threshold: float, block: int):
+def _in_reach(threshold: float):
+    """Of pairs of nodes those that can have members within the threshold."""
     reach = float(np.sqrt(2 - 2 * threshold))
 
-    def run(key, table):
-        rows = sorted(table.to_pylist(), key=lambda r: r["cell"])  # MOST_PIVOTS at most
-        size = len(rows[0]["pivots"]) // rows[0]["n_pivots"]
-        pivots = unit([rows[0]["pivots"][k : k + size] for k in range(0, len(rows[0]["pivots"]), size)])
-        out = []
-        for r in rows:
-            for s in rows:
-                if s["cell"] < r["cell"]:
-                    continue
-                apart = float(np.sqrt(max(0.0, 2 - 2 * pivots[r["cell"]] @ pivots[s["cell"]])))
-                if apart > r["far"] + s["far"] + reach + EPSILON:
-                    continue
-                blocks = lambda t: range(-(-t["size"] // block))
-                for x in blocks(r):
-                    for y in blocks(s):
-                        if r["cell"] < s["cell"] or x <= y:
-                            pair = f"{r['cell']}.{x}-{s['cell']}.{y}"
-                            out.append((r["label"], r["dim"], r["cell"], x, pair, 0))
-                            if (r["cell"], x) != (s["cell"], y):
-                                out.append((r["label"], r["dim"], s["cell"], y, pair, 1))
-        names = ["label", "dim", "cell", "block", "pair", "side"]
-        types = [table.schema.field("label").type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
-        return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=names)
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y, far, other in zip(*(batch.column(c).to_pylist() for c in ("center", "other_center", "far", "other_far"))):
+                u = unit([x, y])
+                keep.append(float(np.sqrt(max(0.0, 2 - 2 * u[0] @ u[1]))) <= far + other + reach + EPSILON)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -210,11 +229,9 @@ def _linked(threshold: float):
                 held_i, held_j, held = [], [], 0
 
         for i, j in dual_traversal(ta, tb, threshold):
-            if same:
-                i, j = i[i != j], j[i != j]
             la += np.bincount(i, weights=nb[j], minlength=len(a)).astype(np.int64)
-            if not same:
-                lb += np.bincount(j, weights=na[i], minlength=len(b)).astype(np.int64)
+            other = la if same else lb
+            other += np.bincount(j, weights=na[i], minlength=len(other)).astype(np.int64)
             held_i.append(i)
             held_j.append(j)
             held += len(i)
@@ -261,26 +278,49 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     classes = able.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("rid"), "id", "label", (F.length("vec") / 8).cast("int").alias("dim"), "vec", "n"), "classes")
 
-    # pivots: of each label about one class in `block`, those with the smallest hash
-    count = classes.groupBy("label", "dim").agg(F.count("*").alias("of"))
-    n_pivots = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("of") / block)).cast("int")
-    hashed = F.xxhash64("vec").alias("h")
-    few = classes.groupBy("label", "dim", F.pmod(F.xxhash64("vec", F.lit(7)), F.lit(MOST_PIVOTS)).alias("slot")).agg(F.min(F.struct(hashed, "vec")).alias("first"))
-    order = Window.partitionBy("label", "dim").orderBy("first.h", "slot")
-    few = few.withColumn("k", F.row_number().over(order)).join(count, ["label", "dim"]).where(F.col("k") <= n_pivots)
-    pivots = few.groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("k", F.col("first.vec").alias("vec")))).alias("all"))
-    joined = F.aggregate("all", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["vec"]))
-    pivots = materialise(pivots.select("label", "dim", F.size("all").alias("n_pivots"), joined.alias("pivots")), "pivots")
-    placed = classes.select("rid", "label", "dim", "vec", "n").join(pivots.select("label", "dim", "pivots"), ["label", "dim"])
-    placed = materialise(placed.mapInArrow(lean(_nearest), f"rid bigint, label {label_kind}, dim int, vec binary, n bigint, cell int, far double"), "cells")
-
-    cells = placed.groupBy("label", "dim", "cell").agg(F.max("far").alias("far"), F.count("*").alias("size"))
-    blocks = cells.select("label", "dim", "cell", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    pairs = cells.join(pivots, ["label", "dim"]).groupBy("label", "dim").applyInArrow(_cell_pairs(threshold, block), f"label {label_kind}, dim int, cell int, block int, pair string, side int")
+    # the upper levels, over whole labels: a node's members go to the nearest of its pivots
+    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    levels = 1
+    while FANOUT**levels * block < largest:
+        levels += 1
+    nodes = classes.groupBy("label", "dim").agg(F.count("*").alias("size")).select("label", "dim", F.lit("").alias("cell"), "size", F.lit(2.0).alias("far"))
+    placed = classes.select("rid", "label", "dim", "vec", "n", F.lit("").alias("cell"))
+    pairs = nodes.select("label", "dim", "cell", F.col("cell").alias("other"))
+    wide = f"rid bigint, label {label_kind}, dim int, vec binary, n bigint, cell string, far double, center binary"
+    used = []
+    for level in range(levels):
+        hashed = F.struct(F.xxhash64("vec").alias("h"), "vec")
+        few = placed.groupBy("label", "dim", "cell", F.pmod(F.xxhash64("vec", F.lit(level)), F.lit(CANDIDATES)).alias("slot")).agg(F.min(hashed).alias("first"))
+        few = few.groupBy("label", "dim", "cell").agg(F.sort_array(F.collect_list("first")).alias("all"))
+        joined = F.aggregate("all", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["vec"]))
+        few = few.select("label", "dim", "cell", joined.alias("candidates")).join(nodes.select("label", "dim", "cell", "size", "far"), ["label", "dim", "cell"])
+        pivots = materialise(few.mapInArrow(lean(_pivots(block)), f"label {label_kind}, dim int, cell string, pivots binary"), "pivots")
+        dealt = placed.select("rid", "label", "dim", "vec", "n", "cell").join(pivots, ["label", "dim", "cell"])
+        placed = materialise(dealt.mapInArrow(lean(_nearest), wide), "cells")
+        nodes = placed.groupBy("label", "dim", "cell").agg(F.first("center").alias("center"), F.max("far").alias("far"), F.count("*").alias("size"))
+        nodes = materialise(nodes.withColumn("above", F.regexp_replace("cell", r"\.[0-9]+$", "")), "nodes")
+        # the traversal: pairs of nodes of this level from the pairs of the level above that are in reach
+        one = nodes.select("label", "dim", F.col("above").alias("cell"), F.col("cell").alias("down"), "center", "far")
+        two = nodes.select("label", "dim", F.col("above").alias("other"), F.col("cell").alias("other_down"), F.col("center").alias("other_center"), F.col("far").alias("other_far"))
+        below = pairs.join(one, ["label", "dim", "cell"]).join(two, ["label", "dim", "other"]).where((F.col("cell") != F.col("other")) | (F.col("down") <= F.col("other_down")))
+        below = below.select("label", "dim", F.col("down").alias("cell"), F.col("other_down").alias("other"), "center", "other_center", "far", "other_far")
+        pairs = materialise(below.mapInArrow(lean(_in_reach(threshold)), below.schema).select("label", "dim", "cell", "other"), "pairs")
+        used += [pivots, placed, nodes, pairs]
+
+    blocks = nodes.select("label", "dim", "cell", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    sized = pairs.join(blocks, ["label", "dim", "cell"]).join(blocks.select("label", "dim", F.col("cell").alias("other"), F.col("blocks").alias("other_blocks")), ["label", "dim", "other"])
+    every = sized.select("label", "dim", "cell", "other", "other_blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    every = every.select("label", "dim", "cell", "other", "x", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("y")).where("cell != other or x <= y")
+    pair = F.concat_ws("-", "cell", "x", "other", "y").alias("pair")
+    left = F.struct(F.col("cell").alias("cell"), F.col("x").alias("block"), F.lit(0).alias("side"))
+    right = F.when((F.col("cell") != F.col("other")) | (F.col("x") != F.col("y")), F.struct(F.col("other").alias("cell"), F.col("y").alias("block"), F.lit(1).alias("side")))
+    asked = every.select("label", "dim", pair, F.explode(F.filter(F.array(left, right), lambda s: s.isNotNull())).alias("s")).select("label", "dim", "pair", "s.*")
     dealt = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    met = dealt.join(pairs, ["label", "dim", "cell", "block"]).select("label", "dim", "pair", "side", "rid", "n", "vec")
+    met = dealt.join(asked, ["label", "dim", "cell", "block"]).select("label", "dim", "pair", "side", "rid", "n", "vec")
     found = met.repartition("label", "dim", "pair").sortWithinPartitions("label", "dim", "pair", "side").mapInArrow(lean(_linked(threshold)), "rid bigint, links bigint, other bigint")
     found = materialise(found, "links")
+    for t in used:
+        remove(t)
     links = found.where("links is not null").groupBy("rid").agg(F.sum("links").alias("links"))
     whole = connected_components(found.where("other is not null").select(F.col("rid").alias("u"), F.col("other").alias("v")))
 

@@ -8,7 +8,8 @@ each switch of language, labels spans; the text's language is the one whose span
 and its score is their share of the letters.
 
 Defined results: null text or a text without a letter has `und` and score 0; so has everything where
-no row can be learned from; words in a script that no learned language uses take the label of their
+no row can be learned from; every language that some row names can be predicted (more than MOST_LANGUAGES
+are an error, none is left out); words in a script that no learned language uses take the label of their
 neighbours; ties go to the language that sorts first; rows are independent of each other.
 """
 
@@ -30,8 +31,8 @@ SWITCH_PENALTY = 12.0
 TRAIN_ROWS_A_LANGUAGE = 4000
 #: Characters whose letter windows, and whose words, are worked on at once.
 PART, TOGETHER = 1 << 18, 6 << 20
-#: Languages that can be learned at once: the model is BUCKETS numbers for each.
-MAX_LANGUAGES = 500
+#: The model is BUCKETS numbers for each language and is broadcast; with more languages `learn` raises an error.
+MOST_LANGUAGES = 2_000
 #: Texts in which no language holds so much of the letters are rejected as filters go.
 LEAST_SHARE = 0.4
 #: A language uses a script if at least this share of its letters is written in it.
@@ -148,7 +149,9 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
 def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows_a_language: int = TRAIN_ROWS_A_LANGUAGE) -> Model:
     """Counts letter windows for each language over a bounded, repeatable sample of the labelled rows of docs."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} languages, which a model can't hold")
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))

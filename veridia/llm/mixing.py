@@ -10,7 +10,7 @@ No source is gathered in one task: keys fall into BUCKETS ranges, words are summ
 and range, and only the range in which a source's budget ends is put in order row by row.
 
 Defined results: null text has 0 words; a null source is a source, sorted last; rows that repeat an
-id have the same key and each counts; an empty table gives no rows; if all texts are empty, targets
+id have the same key and each counts; rows without an id draw by their text; an empty table gives no rows; if all texts are empty, targets
 are 0.  One row for each source comes to the driver, since the weights go by the sources' order.
 """
 
@@ -46,7 +46,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     left, rest = float(sum(sizes.values())), sum(weight.values())
     out: dict[str | None, float] = {}
-    for s in sorted(order, key=lambda s: (most * sizes[s] / weight[s], order.index(s) if len(order) < 2000 else 0)):
+    for s in sorted(order, key=lambda s: most * sizes[s] / weight[s]):  # ties stay in the sources' order
         cap = float(most * sizes[s])
         share = left * weight[s] / rest if rest else 0.0
         out[s] = cap if cap <= share else share
@@ -56,13 +56,14 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, quality: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """For each row: id_col, source, size, source_size, target, epochs, taken."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, quality: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """For each row: id_col, source, size, source_size, target, epochs, taken. With whole=True all columns of docs, and those
+    five; where a name is in both, the mix's column is kept."""
     spark, text = docs.sparkSession, F.col(text_col).cast("string")
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double")
+    draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), text, F.lit(""))), 1, 12), 16, 10).cast("double")
     u = (draw + 1.0) / F.lit(float(1 << 48) + 1.0)
     q = quality if quality is not None else quality_weight(text)
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_in(text).alias("size"), (-F.log(u) / q).alias("key"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_in(text).alias("size"), (-F.log(u) / q).alias("key"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []))
     sized = materialise(sized.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")), "mix")
     by_source = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     target = targets(by_source, weights, most)
@@ -93,7 +94,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     so_far = F.sum("size").over(Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("extra", (F.col("before") + so_far - F.col("size") / 2 <= F.col("budget")).cast("bigint"))
     out = sure.unionByName(inside).withColumn("taken", (F.col("epochs") + F.col("extra")) * F.col("size"))
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).alias("epochs"), "taken")
+    mixed = ["size", "source_size", "target", (F.col("epochs") + F.col("extra")).alias("epochs"), "taken"]
+    if whole:
+        own = [c for c in docs.columns if c not in ("size", "source_size", "target", "epochs", "taken")]
+        return out.select(*[F.col(f"row.`{c}`").alias(c) for c in own], *mixed)
+    return out.select(F.col("id").alias(id_col), "source", *mixed)
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
@@ -102,7 +107,7 @@ def report(docs: DataFrame, **how) -> DataFrame:
 
 REPORT_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) + 1.0::DOUBLE) / 281474976710657.0::DOUBLE)
+                  -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 12)) AS BIGINT) + 1.0::DOUBLE) / 281474976710657.0::DOUBLE)
                   / coalesce(greatest(0.05::DOUBLE, 1.0::DOUBLE - length(regexp_replace(text, '[\p{L}\x20\x09-\x0D]+', '', 'g'))::DOUBLE / greatest(1, length(text))), 1.0::DOUBLE) AS key
            FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

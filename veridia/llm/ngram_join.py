@@ -6,7 +6,7 @@ The result is exact up to equal 64-bit shingle hashes; no candidate, partner or
 1. Documents with equal sets are one node.  A node's group is chosen by its smallest shingle (the
    smallest that isn't known to be common, if at least half of the set isn't): similar documents
    mostly agree on it.  Within a partition, nodes of a group that are similar to one of its leaders
-   are linked to it on the spot; what is left of a group meets in one task and is joined exactly.
+   are linked to it on the spot; what is left of a group is joined exactly, GROUP nodes at a time.
 2. Groups are merged along the links that were found; a group is now a connected part.
 3. Token-group matrix: each set has a prefix of its tokens, common tokens last, which any partner
    must share LEAST tokens of.  Rare tokens, in at most LONG_LIST prefixes, take a plain
@@ -52,6 +52,12 @@ COMMON, MOST_COMMON = 32, 1_000_000
 LONG_LIST = 64
 LOCAL_LEADERS = 8
 BLOCK = 512
+#: A group is joined in portions of so many nodes; pairs of different portions are left to the token lists.
+GROUP = 1024
+#: Groups whose only common ground is a shingle known to be common are dealt to so many keys.
+SPREAD = 64
+#: Documents for each bucket of token lists, where there are many.
+BUCKET_DOCS = 100_000
 #: Components of so many nodes have blocks of their own.
 OWN_BLOCKS = 64
 
@@ -173,26 +179,29 @@ def local_join(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
     length = np.diff(np.append(start, len(tok)))
     root = np.array([parts.find(i) for i in range(n)])
-    found = np.zeros(0, dtype=np.int64)
+    shared, held, waiting = np.zeros(n * n, dtype=np.int64), [], 0  # n is GROUP at most
+
+    def count():
+        nonlocal held, waiting
+        if held:
+            pair, times = np.unique(np.concatenate(held), return_counts=True)
+            shared[pair] += times
+        held, waiting = [], 0
+
     for i, j in pairs_in_runs(start, length):
         a, b = own[i], own[j]
         use = (root[a] != root[b]) & (DEN * np.minimum(size[a], size[b]) >= NUM * np.maximum(size[a], size[b]))
-        found = np.concatenate([found, a[use] * n + b[use]])
-        if len(found) > 20_000_000:  # pairs are verified as soon as they are many; the counts then only help less
-            found = _verify(np.unique(found), n, sets, parts, out)
-            root = np.array([parts.find(i) for i in range(n)])
-    pair, shared = np.unique(found, return_counts=True)
-    _verify(pair[shared >= LEAST] if len(found) <= 20_000_000 else pair, n, sets, parts, out)
-    return out
-
-
-def _verify(pairs: np.ndarray, n: int, sets: list[np.ndarray], parts: Union, out: list) -> np.ndarray:
-    for p in pairs.tolist():
+        held.append(a[use] * n + b[use])
+        waiting += len(held[-1])
+        if waiting > 4_000_000:
+            count()
+    count()
+    for p in np.flatnonzero(shared >= LEAST).tolist():
         i, j = divmod(p, n)
         if parts.find(i) != parts.find(j) and linked(sets[i], sets[j]):
             parts.join(i, j)
             out.append((i, j))
-    return np.zeros(0, dtype=np.int64)
+    return out
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -205,6 +214,14 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def _mixed(x: int) -> int:
+    return int(mix64(np.array([x & (1 << 64) - 1], dtype=np.uint64))[0])
+
+
+def _signed_int(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
 def _batch(columns: dict, doc_type) -> pa.RecordBatch:
     kinds = {"kind": pa.int8(), "key": pa.int64(), "rid": pa.int64(), "doc": doc_type, "n": pa.int32(), "d1": pa.int64(), "d2": pa.int64(), "other": pa.int64(), "packed": pa.binary()}
     n = max(len(v) for v in columns.values())
@@ -257,8 +274,11 @@ def _first(steer):
                     if leader is None and len(mates) < LOCAL_LEADERS:
                         mates.append((rid, x))
                         held += len(x)
-                    key = first if leader is None else int(mix64(np.array([d[0] & (1 << 64) - 1], dtype=np.uint64))[0])
-                    for k, v in zip(new, (key - (1 << 64) if key >= 1 << 63 else key, rid, len(x), *d, leader, squeeze.compress(text))):
+                    if leader is not None:
+                        key = _mixed(d[0])
+                    else:
+                        key = first if 2 * len(own) >= len(x) else _mixed(first + _mixed(d[0]) % SPREAD)
+                    for k, v in zip(new, (_signed_int(key), rid, len(x), *d, leader, squeeze.compress(text))):
                         new[k].append(v)
                 if new["rid"]:
                     yield _batch({"kind": [NODE] * len(new["rid"]), **new}, doc_type)
@@ -288,17 +308,11 @@ def unpack(packed: list[bytes]) -> list[np.ndarray]:
 
 
 def _grouped(batches):
-    """Rows come sorted by key: joins what is left of each group. A node that was linked to a leader has a key of its own."""
-
-    def finish(key: int, nodes: list[Node]):
-        kept: dict[tuple[int, int], Node] = {}
-        links = [(x.rid, x.leader) for x in nodes if x.leader is not None]
-        for x in nodes:
-            if x.d in kept:
-                links.append((x.rid, kept[x.d].rid))
-            else:
-                kept[x.d] = x
-        rest = list(kept.values())
+    """Rows come sorted by key and digest: joins what is left of each group, GROUP nodes at a time. A node that was linked
+    to a leader has a key of its own, and so has each portion of a group."""
+
+    def finish(key: int, rest: list[Node], links: list[tuple[int, int]]):
+        links = links + [(x.rid, x.leader) for x in rest if x.leader is not None]
         heads = [x for x in rest if x.leader is None]
         if len(heads) > 1:
             links += [(heads[i].rid, heads[j].rid) for i, j in local_join(unpack([x.packed for x in heads]))]
@@ -307,7 +321,7 @@ def _grouped(batches):
         if links:
             yield {"kind": [LINK] * len(links), "rid": [a for a, _ in links], "other": [b for _, b in links]}
 
-    at, nodes, doc_type = None, [], pa.int64()
+    at, portion, nodes, links, doc_type = None, 0, [], [], pa.int64()
     for batch in batches:
         doc_type = batch.schema.field("doc").type
         kind = batch.column("kind").to_numpy()
@@ -316,14 +330,19 @@ def _grouped(batches):
         rows = batch.filter(pa.array(kind == NODE))
         out: list[dict] = []
         for key, rid, n, d1, d2, other, packed in zip(*(rows.column(c).to_pylist() for c in ("key", "rid", "n", "d1", "d2", "other", "packed"))):
-            if key != at and nodes:
-                out += finish(at, nodes)
-                nodes = []
+            if key == at and nodes[-1].d == (d1, d2):  # an equal set is the same node
+                links.append((rid, nodes[-1].rid))
+                if other is not None:
+                    links.append((rid, other))
+                continue
+            if nodes and (key != at or len(nodes) >= GROUP):
+                out += finish(at if not portion else _signed_int(_mixed(at + portion)), nodes, links)
+                portion, nodes, links = portion + 1 if key == at else 0, [], []
             at = key
             nodes.append(Node(rid, n, (d1, d2), other, packed))
         for part in _stack(out):
             yield _batch(part, doc_type)
-    for part in _stack(list(finish(at, nodes)) if nodes else []):
+    for part in _stack(list(finish(at if not portion else _signed_int(_mixed(at + portion)), nodes, links)) if nodes else []):
         yield _batch(part, doc_type)
 
 
@@ -595,17 +614,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """near_duplicates of rows that have a rid."""
     spark = docs.sparkSession
-    buckets = max(512, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_docs = docs.select(id_col).count()
+    buckets = max(512, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // BUCKET_DOCS)
     doc_kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select("rid", F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     # shingles that are common in a bounded sample only steer the choice of groups
-    n_docs = docs.select(id_col).count()
     sample = docs.where(uniform(id_col) < min(1.0, SAMPLE_DOCS / max(1, n_docs))).select(F.col(text_col).cast("string").alias("text"))
     steer = spark.sparkContext.broadcast(_common_tokens(sample, _whole_sets, SAMPLE_COMMON, 64))
     schema = f"kind tinyint, key bigint, rid bigint, doc {doc_kind}, n int, d1 bigint, d2 bigint, other bigint, packed binary"
     first = texts.mapInArrow(lean(_first(steer)), schema)
-    table = materialise(first.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(lean(_grouped), schema), "groups")
+    table = materialise(first.repartition("key").sortWithinPartitions("key", "d1", "d2", "rid").mapInArrow(lean(_grouped), schema), "groups")
     nodes, links = table.where(F.col("kind") == NODE), table.where(F.col("kind") == LINK).select(F.col("rid").alias("u"), F.col("other").alias("v"))
     parts = connected_components(links)
 
@@ -670,12 +689,12 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that with the smallest id (null after all others), the first
     of its rows. Rows that link with nothing, empty ones too, all stay, whatever their ids."""
-    rows = numbered(docs)
-    found = _near_duplicates(rows, id_col, text_col)
+    rows = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    found = _near_duplicates(rows.select("rid", F.col(f"row.`{id_col}`").alias(id_col), F.col(f"row.`{text_col}`").alias(text_col)), id_col, text_col)
     alone = found.where("n_shingles = 0").select("rid")
     best = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), "rid")).alias("best"))
     keep = materialise(alone.union(best.select("best.rid")), "kept")
-    return rows.join(keep, "rid", "left_semi").drop("rid")
+    return rows.join(keep, "rid", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, **how) -> DataFrame:

@@ -1,10 +1,12 @@
 r"""Secret scans (operator 6): an incremental ledger of content-addressed blobs.
 
-Every version of a file (here: every row) is a blob named by the sha256 of its text.  The ledger, a
-Parquet table, says which blob was scanned under which rule version and what was found.  A scan
-hashes all texts, drops blobs that the ledger has under the same rule version, meets each remaining
-blob once (a blob repeated in a partition is sent once, compressed; the rest meet by hash), records
-the findings, also empty ones, and joins them back to all rows that carry the blob.
+Every version of a file is a blob named by the sha256 of its text; rows may name it by any columns,
+such as a path and a version (`id_col` takes several).  The ledger, a Parquet table, says which blob
+was scanned under which rule version and what was found; the rule version is a digest of the rules
+themselves, so other rules never meet stale findings.  A scan hashes all texts, drops blobs that the
+ledger has under the same rule version, meets each remaining blob once (a blob repeated in a partition
+is sent once, compressed; the rest meet by hash), records the findings, also empty ones, and joins
+them back to all rows that carry the blob.  Two scans at once may record a blob twice; it counts once.
 
 Rules are regular expressions with a least length; matches are leftmost and not overlapping for each
 kind.  A cheap test on the bytes decides whether a rule's expression has to run at all on a text.
@@ -16,6 +18,7 @@ leaves the ledger as it is.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
@@ -48,15 +51,21 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, run=24),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_")),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 30, (b"eyj",)),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 20, (b"private key-----",)),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{3,100}@", 0, 10, (b"://",)),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{16,})*)", 0, 20, (b"private key-----",)),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@", 0, 10, (b"://",)),
 )
 BASE = ("assign", "access", "hex")
-VERSION = "1"
-SHA, FOUND = "redact_sha", "redact_findings"
+SHA, FOUND, SALT = "redact_sha", "redact_findings", "redact_salt"
+#: Rows of one blob are spread over so many keys where findings are joined back.
+SALTS = 8
 FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A digest of everything that decides what the rules find."""
+    return hashlib.sha256("\n".join(repr(r) for r in rules).encode()).hexdigest()[:16]
+
+
 def find(text: str, rules: tuple[Rule, ...] = RULES, raw: bytes | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all findings, by start and then by the order of the rules."""
     raw = text.encode() if raw is None else raw
@@ -112,30 +121,42 @@ def _ledger(spark, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if fs.exists(at) else None
 
 
-def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, sha, findings for each row of docs; the ledger gains the blobs it hadn't under `version`."""
-    spark = docs.sparkSession
+def _joined_back(rows: DataFrame, hits: DataFrame, sha: str) -> DataFrame:
+    """rows left-joined to hits (one row for each blob with findings) by the digest; the rows of a blob are spread over SALTS keys."""
+    salted = hits.withColumn(SALT, F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return rows.withColumn(SALT, (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [sha, SALT], "left").drop(SALT)
+
+
+def findings_of(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """sha, findings of the blobs in the ledger that have some under these rules, after a scan of those of docs that it hadn't."""
+    spark, version = docs.sparkSession, version_of(rules)
     ledger = ledger or new_path(spark, "ledger")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sha = digest(text_col)
-    blobs = docs.select(sha.alias("sha"), text.alias("text")).where("text != ''").mapInArrow(lean(_pack), "sha binary, packed binary")
+    blobs = docs.select(digest(text_col).alias("sha"), text.alias("text")).where("text != ''").mapInArrow(lean(_pack), "sha binary, packed binary")
     known = _ledger(spark, ledger)
     if known is not None:
         blobs = blobs.join(known.where(F.col("version") == version).select("sha"), "sha", "left_anti")
     found = blobs.repartition("sha").sortWithinPartitions("sha").mapInArrow(lean(_scanner(rules)), f"sha binary, findings {FINDINGS}")
     found.withColumn("version", F.lit(version)).write.mode("append").parquet(ledger)
-    hits = spark.read.parquet(ledger).where((F.col("version") == version) & (F.size("findings") > 0)).select("sha", "findings")
-    paths = docs.select(F.col(id_col), sha.alias("sha"))
-    return paths.join(hits, "sha", "left").select(F.col(id_col), "sha", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    return spark.read.parquet(ledger).where((F.col("version") == version) & (F.size("findings") > 0)).dropDuplicates(["sha"]).select("sha", "findings")
+
+
+def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str | list[str] = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col (a column, or several such as path and version), sha, findings for each row of docs; the ledger gains the
+    blobs it hadn't under these rules."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    hits = findings_of(docs, ledger, rules, text_col).select(F.col("sha").alias(SHA), F.col("findings").alias(FOUND))
+    named = [F.col(f"`{c}`").alias(f"id{k}") for k, c in enumerate(ids)]
+    out = _joined_back(docs.select(*named, digest(text_col).alias(SHA)), hits, SHA)
+    return out.select(*[F.col(f"id{k}").alias(c) for k, c in enumerate(ids)], F.col(SHA).alias("sha"), F.coalesce(F.col(FOUND), F.array().cast(FINDINGS)).alias("findings"))
 
 
-def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span that a rule finds replaced by `mask`; all rows and columns stay.
+def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """docs with every span that a rule finds replaced by `mask`; all rows and columns stay, whatever their names.
 
     The findings come from the ledger; blobs that have some are joined back by their digest."""
     docs = file_backed(docs)
-    found = scan(docs, ledger, rules, version, id_col, text_col).where(F.size("findings") > 0).select(F.col("sha").alias(SHA), F.col("findings").alias(FOUND))
-    found = materialise(found.dropDuplicates([SHA]), "findings")
+    found = materialise(findings_of(docs, ledger, rules, text_col).select(F.col("sha").alias(SHA), F.col("findings").alias(FOUND)), "findings")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def clean(batches):
@@ -153,7 +174,9 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
             columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.withColumn(SHA, digest(text_col)).join(found, SHA, "left").select(*names, FOUND).mapInArrow(lean(clean), docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), digest(text_col).alias(SHA))
+    rows = _joined_back(rows, found, SHA).select(*[F.col(f"row.`{c}`").alias(c) for c in names], FOUND)
+    return rows.mapInArrow(lean(clean), docs.schema)
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
