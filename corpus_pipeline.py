@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veridia.llm import decontaminate, lang_id, mixing, ngram_join, secrets
-from veridia.llm.common import materialise, table
+from veridia.llm.common import discard, materialise, remove, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often."""
-    return mixing.mix(docs).where("epochs > 0")
+    """The documents that the mix takes, with their texts and how often they are taken (epochs)."""
+    return mixing.mix(docs, whole=True).where("epochs > 0")
 
 
 STAGES = [
@@ -50,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What a stage wrote besides its rows, and the rows of the stage before it, is deleted once its rows are written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        before = written()
         docs = materialise(stage(spark, docs, sf_dir), name)
+        discard(spark, before, keep=docs)
+        if last is not None:
+            remove(last)
+        last = docs
     return docs
