@@ -3,7 +3,7 @@
 import pytest
 
 from veridia.kb import KnowledgeBase
-from veridia.plans.terms import TOP, And, Axioms, DLError, InconsistentTBox, Not, Or, atleast, atmost, atom, inv, only, some
+from veridia.plans.terms import BOTTOM, TOP, Access, And, Axioms, DLError, InconsistentTBox, Not, Or, atleast, atmost, atom, inv, only, some
 from veridia.sources import dig, tst
 
 
@@ -123,8 +123,43 @@ def test_conjunctive_queries(spark):
     assert sorted(map(tuple, k.query(["?x", "?z"], [("r", "?x", "?y"), ("r", "?y", "?z"), ("A", "?y")]).collect())) == [("a", "c")]
     assert names(k.query(["?x"], [("r", "?x", "?x")])) == ["c"]
     assert names(k.query(["?y"], [("r", "a", "?y")])) == ["b"]
+    assert names(k.query(["?x"], [("A", "?x"), ("A", "?y")])) == ["b"]  # the second atom is a test
+    assert names(k.query(["?x"], [("r", "?x", "?y"), ("A", "a")])) == [] and names(k.query(["?x"], [("A", "b"), ("r", "?x", "b")])) == ["a"]
+    assert sorted(map(tuple, k.query(["?x", "?y"], [("A", "?x"), ("r", "?y", "c")]).collect())) == [("b", "b"), ("b", "c")]
+    assert names(k.query(["?x"], [("A", "?x")], exists=[("r", "?u", "?u")])) == ["b"]
+    assert names(k.query(["?x"], [("A", "?x")], exists=[("r", "?u", "a")])) == []
+    assert sorted(map(tuple, k.query(["?x", "?y"], [("r", "a", "?x"), ("r", "?y", "b")], exists=[("r", "?y", "?x")]).collect())) == [("b", "a")]
+    assert k.query([], [("A", "b"), ("r", "a", "?y")]).first()["result"] and not k.query([], [("A", "c")]).first()["result"]
     with pytest.raises(DLError):
-        k.query(["?x"], [("A", "?x"), ("A", "?y")])
+        k.query(["?z"], [("A", "?x")])
+
+
+def test_rules_without_a_head_report_conflicts(spark):
+    k = kb(spark, Axioms().implies(some("r"), BOTTOM).related("a", "r", "b"))
+    assert {tuple(x) for x in k.inconsistencies().collect()} == {("at most 0 y: r(x, y)", "a")}
+
+
+def test_connections(spark):
+    spark.createDataFrame([("one",)], "n string").createOrReplaceTempView("conn_one")
+    spark.createDataFrame([("two",)], "n string").createOrReplaceTempView("conn_two")
+    k = KnowledgeBase(spark).connect("first", lambda s, table, query: s.table(f"{table}_one")).connect("second", lambda s, table, query: s.table(f"{table}_two"))
+    k.bind(Access("A", 1, table=("conn", "n"), connection="first")).bind(Access("B", 1, table=("conn", "n"), connection="second"))
+    assert names(k.instances("A")) == ["one"] and names(k.instances("B")) == ["two"]
+    k.bind(Access("C", 1, table=("conn_one", "n"), connection="catalog"))
+    with pytest.raises(DLError):
+        k.bind(Access("D", 1, table=("conn_one", "n"), connection="unknown"))
+
+
+def test_names_keep_their_spaces(tmp_path):
+    from veridia.sources import owl
+
+    (tmp_path / "o.owl").write_text(
+        '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xml:base="http://d.org/x" xmlns:a="http://a#" xmlns:b="http://b#">'
+        '<a:P rdf:ID="i"><b:r rdf:resource="http://e.org/y#i"/></a:P><b:P rdf:about="#i"/></rdf:RDF>'
+    )
+    got = set(owl.facts(str(tmp_path / "o.owl")))
+    i = "http://d.org/x#i"
+    assert got == {("instance", i, "http://a#P", "http://a#P"), ("object", i, "http://e.org/y#i", "http://b#r"), ("instance", i, "http://b#P", "http://b#P")}
 
 
 def test_names_and_taxonomy(spark):
@@ -214,7 +249,7 @@ def test_bulk_xml_and_owl(spark, tmp_path):
         '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns="http://x.org/#">'
         '<owl:Class rdf:ID="C"/><C rdf:ID="a"><r rdf:resource="#b"/><age>7</age></C><owl:Thing rdf:about="#b"><rdf:type rdf:resource="#D"/></owl:Thing></rdf:RDF>'
     )
-    inst, obj, data = owl.load(spark, str(tmp_path / "o.owl"))
+    inst, obj, data = owl.load(spark, str(tmp_path / "o.owl"), short=True)
     assert {tuple(r) for r in inst.collect()} == {("a", "C", "C"), ("b", "D", "D")}
     assert [tuple(r) for r in obj.collect()] == [("a", "b", "r")] and [tuple(r) for r in data.collect()] == [("a", "7", "age")]
     concept, role = triple_store(inst, obj)

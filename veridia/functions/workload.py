@@ -15,3 +15,10 @@ def chain(spark: SparkSession, parents: int, friends: int = 0, gap: int | None =
     closing = spark.range(1).select(F.lit("i0").alias("s"), F.lit(f"i{parents}").alias("o"))
     others = spark.range(parents * friends).select(name(F.floor(F.col("id") / max(1, friends))).alias("s"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("o"))
     return parent, closing.union(others)
+
+
+def case_chain(spark: SparkSession, n: int) -> DataFrame:
+    """(s, o): a root with an edge to each of i1 ... in, which form a chain."""
+    i = spark.range(1, n + 1).select(F.col("id").cast("int").alias("i"))
+    name = lambda c: F.concat(F.lit("i"), c.cast("string"))
+    return i.select(F.lit("root").alias("s"), name(F.col("i")).alias("o")).union(i.where(F.col("i") < n).select(name(F.col("i")).alias("s"), name(F.col("i") + 1).alias("o")))

@@ -19,10 +19,12 @@ from veridia.operators.refute import refute
 from veridia.operators.roles import Roles
 from veridia.plans.program import Key, Program
 from veridia.plans.terms import BOTTOM, TOP, Access, And, Axioms, Concept, DLError, InconsistentTBox, Not, Role, atom, role
-from veridia.sources.access import read_concept, read_role
+from veridia.sources.access import Reader, read_concept, read_role
 
 log = logging.getLogger(__name__)
 ASKED = "_asked"
+#: Answers of a query whose variables nothing connects, at most.
+MOST_PRODUCT = 10_000_000_000
 
 
 def variable(x: str) -> bool:
@@ -32,6 +34,8 @@ def variable(x: str) -> bool:
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, name: str = "kb"):
         self.spark, self.name = spark, name
+        self.connections: dict[str, Reader] = {}
+        self._catalog: str | None = None
         self.clear()
 
     # ---- telling -----------------------------------------------------------------------------
@@ -47,6 +51,7 @@ class KnowledgeBase:
         self._told: tuple | None = None
         self._horns: dict[Concept | None, Horn] = {}
         self._refuted: dict[Concept, DataFrame | None] = {}
+        self._asked: dict[str, dict[str, set[str]]] = {}
 
     def tell(self, axioms: Axioms) -> KnowledgeBase:
         """Adds axioms and facts to what was told before; everything is compiled together."""
@@ -69,11 +74,22 @@ class KnowledgeBase:
         self._forget()
         return self
 
+    def connect(self, name: str, reader: Reader) -> KnowledgeBase:
+        """What accesses of the connection `name` read from, such as sources.access.jdbc_connection(url)."""
+        self.connections[name] = reader
+        return self
+
     def bind(self, access: Access) -> KnowledgeBase:
-        """An external relation: a table of the catalog or a SQL query."""
+        """An external relation: a table or a SQL query of its connection. One connection that `connect` doesn't
+        know is the session's own catalog; a second one is an error, since it would read the same tables."""
+        reader = self.connections.get(access.connection) if access.connection else None
+        if access.connection and reader is None:
+            if self._catalog not in (None, access.connection):
+                raise DLError(f"{access.name}: nothing is known of the connection {access.connection}", 301)
+            self._catalog = access.connection
         if access.arity == 1:
-            return self.concept(access.name, read_concept(self.spark, access), access.positive)
-        return self.role(access.name, read_role(self.spark, access))
+            return self.concept(access.name, read_concept(self.spark, access, reader), access.positive)
+        return self.role(access.name, read_role(self.spark, access, reader))
 
     def tell_file(self, path: str) -> KnowledgeBase:
         from veridia.sources import dig, tst
@@ -113,6 +129,8 @@ class KnowledgeBase:
         if asked not in self._programs:
             p = Program(self.axioms, [(asked, atom(ASKED))] if asked is not None else [])
             p.check()
+            if not p.complete:
+                log.warning("saturation of %s stopped at its step bound: answers are right, but some may be missing", self.name)
             self._programs[asked] = p
         return self._programs[asked]
 
@@ -123,6 +141,10 @@ class KnowledgeBase:
             self._horns[asked] = Horn(program, concepts, Roles(roles, program.box), self.individuals)
         return self._horns[asked]
 
+    def complete(self, asked: Concept | None = None) -> bool:
+        """Whether saturation reached its end, so that no answer can be missing for want of steps."""
+        return self.program(asked).complete
+
     # ---- asking ------------------------------------------------------------------------------
 
     def _goal(self, c: Concept) -> tuple[Key, Concept | None]:
@@ -170,20 +192,66 @@ class KnowledgeBase:
     def query(self, answer: Iterable[str], atoms: Iterable[tuple], exists: Iterable[tuple] = ()) -> DataFrame:
         """Conjunctive query. An atom is (concept, term) or (role, term, term); terms that start with
         "?" are variables, others individuals. exists: atoms that only have to hold for some values
-        of their further variables. Columns are named by the answer variables, without "?"."""
-        answer = list(answer)
-        out = self._conjunction(list(atoms))
-        for group in [list(exists)] if exists else []:
-            inner = self._conjunction(group)
-            shared = [c for c in inner.columns if c in out.columns]
-            out = out.join(inner.select(*shared).distinct(), shared, "left_semi")
-        missing = [v for v in answer if v[1:] not in out.columns]
+        of their further variables. Columns are named by the answer variables, without "?"; without answer
+        variables the result is one row, result (boolean). Atoms that share no variable with the answer, ground
+        ones too, are tests; answer variables that nothing connects make a product (see `_product`)."""
+        answer = list(dict.fromkeys(v[1:] for v in answer))
+        own, inner = self._components(list(atoms)), self._components(list(exists))
+        missing = [v for v in answer if not any(v in names for names, _ in own)]
         if missing:
             raise DLError(f"answer variables {missing} occur in no atom")
-        return out.select(*[v[1:] for v in answer]).distinct()
-
-    def _conjunction(self, atoms: list[tuple]) -> DataFrame:
-        parts = []
+        linked = set(answer).union(*(names for names, _ in inner)) if inner else set(answer)
+        frames, tests = [], []
+        for names, parts in own:
+            kept = sorted(names & linked)
+            df = self._joined(parts)
+            if names & set(answer) or kept:
+                frames.append(df.select(*kept).distinct())
+            else:
+                tests.append(df)
+        for names, parts in inner:
+            df = self._joined(parts)
+            meets = [k for k, f in enumerate(frames) if names & set(f.columns)]
+            if not meets:
+                tests.append(df)
+                continue
+            whole = frames[meets[0]]
+            for k in meets[1:]:
+                whole = self._product(whole, frames[k])
+            shared = [c for c in whole.columns if c in names]
+            frames = [f for k, f in enumerate(frames) if k not in meets] + [whole.join(df.select(*shared).distinct(), shared, "left_semi")]
+        # a part without an answer variable only has to have a row
+        tests += [f for f in frames if not set(f.columns) & set(answer)]
+        frames = [f.select(*[c for c in f.columns if c in answer]).distinct() for f in frames if set(f.columns) & set(answer)]
+        if not frames:
+            out = self.spark.range(1).select(F.lit(True).alias("result"))
+        else:
+            out = frames[0]
+            for f in frames[1:]:
+                out = self._product(out, f)
+        for test in tests:
+            holds = test.limit(1).select(F.lit(1).alias("_holds"))  # one row at most
+            out = out.withColumn("_holds", F.lit(1)).join(F.broadcast(holds), "_holds", "left_semi").drop("_holds")
+        if not frames:
+            return out.agg((F.count("*") > 0).alias("result"))
+        return out.select(*answer)
+
+    def _product(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """All pairs of rows, as answers that nothing connects ask for: both sides are counted, more than MOST_PRODUCT pairs
+        are refused, and the pairs are dealt to keys by the larger side, with the smaller one at each key."""
+        n, m = left.count(), right.count()
+        if n * m > MOST_PRODUCT:
+            raise DLError(f"the query has parts that share no variable, with {n} and {m} rows: more than {MOST_PRODUCT} answers")
+        if n < m:
+            left, right = right, left
+        keys = max(1, min(1024, n * m // 1_000_000))
+        dealt = left.withColumn("_key", F.pmod(F.xxhash64(*left.columns), F.lit(keys)))
+        each = right.withColumn("_key", F.explode(F.sequence(F.lit(0), F.lit(keys - 1)).cast("array<bigint>")))
+        return dealt.join(each, "_key").drop("_key")
+
+    def _components(self, atoms: list[tuple]) -> list[tuple[set[str], list[DataFrame]]]:
+        """Atoms as DataFrames, by the variables that connect them: (names, parts); a ground atom stands alone."""
+        out: list[tuple[set[str], list[DataFrame]]] = []
         for what, *terms in atoms:
             df = self.instances(what) if len(terms) == 1 else self.related(what)
             columns = df.columns
@@ -193,12 +261,17 @@ class KnowledgeBase:
             names = {c: t[1:] for c, t in zip(columns, terms) if variable(t)}
             if len(terms) == 2 and variable(terms[0]) and terms[0] == terms[1]:
                 df, names = df.where(F.col("s") == F.col("o")), {"s": terms[0][1:]}
-            parts.append(df.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct())
+            part = df.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct() if names else df.limit(1).select(F.lit(1).alias("_holds"))
+            met = [c for c in out if c[0] & set(names.values())]
+            out = [c for c in out if c not in met] + [(set(names.values()).union(*(c[0] for c in met)), [p for c in met for p in c[1]] + [part])]
+        return out
+
+    @staticmethod
+    def _joined(parts: list[DataFrame]) -> DataFrame:
+        parts = list(parts)
         out = parts.pop(0)
         while parts:  # next an atom that shares a variable, so that no product is needed
-            k = next((k for k, p in enumerate(parts) if set(p.columns) & set(out.columns) or not p.columns), None)
-            if k is None:
-                raise DLError("the query falls apart into parts that share no variable")
+            k = next(k for k, p in enumerate(parts) if set(p.columns) & set(out.columns))
             p = parts.pop(k)
             out = out.join(p, [c for c in p.columns if c in out.columns])
         return out
@@ -221,6 +294,11 @@ class KnowledgeBase:
         parts = [self.instances(n).where(F.col("ind") == i).select(F.lit(n).alias("concept")) for n in self.concept_names()]
         return union(parts) if parts else self.spark.createDataFrame([], "concept string")
 
+    def told_values(self, i: str, attribute: str) -> DataFrame:
+        """Values (value) that were told of an individual: fillers of the role as stated, without anything derived."""
+        told = self._stored()[1].get(attribute)
+        return self.spark.createDataFrame([], "value string") if told is None else told.where(F.col("s") == i).select(F.col("o").alias("value")).distinct()
+
     def satisfiable(self, c: Concept | str) -> bool:
         c = atom(c) if isinstance(c, str) else c
         p = Program(self.axioms, [(atom(ASKED), c)])
@@ -241,8 +319,12 @@ class KnowledgeBase:
 
     def taxonomy(self) -> dict[str, set[str]]:
         """For each concept name the names that subsume it (itself left out)."""
-        names = self.concept_names()
-        return {d: {c for c in names if c != d and self.subsumes(c, d)} for d in names}
+        key = "taxonomy"
+        if key not in self._asked:
+            names = self.concept_names()
+            program = self.program()  # saturated once: names are compared in the rules
+            self._asked[key] = {d: {c for c in names if c != d and program.excludes((d, True), (c, False))} for d in names}
+        return {d: set(up) for d, up in self._asked[key].items()}
 
     def ancestors(self, c: str) -> set[str]:
         return self.taxonomy()[c] - self.equivalents(c)
@@ -283,7 +365,7 @@ class KnowledgeBase:
 
     def inconsistencies(self) -> DataFrame:
         """(what, ind): individuals that derivation puts both inside and outside a concept, and those
-        with more successors than a number restriction allows. Answers stay those derived; nothing
+        with more successors than a restriction allows (none, for what has none). Answers stay those derived; nothing
         follows from a contradiction."""
         horn = self._horn()
         parts = []
@@ -291,12 +373,10 @@ class KnowledgeBase:
             yes, no = horn.facts((name, True)), horn.facts((name, False))
             parts.append(yes.join(no, "ind", "left_semi").select(F.lit(name).alias("what"), "ind"))
         for r in horn.program.rules:
-            body = [(k[0], not k[1]) for k in r.unary] + ([r.modal[2]] if r.modal and r.modal[2] else [])
-            if r.modal and all(k in horn.possible for k in body) and horn.roles.edges(r.modal[1]) is not None:
-                known = {k: horn.facts(k) for k in body}
-                hit = horn.derive(r, ("", True), "x", known)
-                if r.modal[0] > 0 and not r.unary:
-                    parts.append(hit.select(F.lit(str(r)).alias("what"), "ind"))
+            # a rule that leaves nothing to derive at x: its body is a conflict
+            if r.modal and not r.unary and (r.modal[2] is None or r.modal[2] in horn.possible) and horn.roles.edges(r.modal[1]) is not None:
+                known = {r.modal[2]: horn.facts(r.modal[2])} if r.modal[2] else {}
+                parts.append(horn.derive(r, ("", True), "x", known).select(F.lit(str(r)).alias("what"), "ind"))
         return union(parts) if parts else self.spark.createDataFrame([], "what string, ind string")
 
     def materialise(self, path: str, concepts: Iterable[str] | None = None, roles: Iterable[str] | None = None) -> None:

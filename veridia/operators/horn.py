@@ -19,6 +19,8 @@ from .roles import Roles
 
 ROUNDS = 10_000
 COMPACT = 16
+#: Steps of a round where only one rule recurs, through one literal.
+HOPS = 4
 
 
 def union(parts: list[DataFrame]) -> DataFrame | None:
@@ -111,15 +113,22 @@ class Horn:
         nothing = self.individuals().limit(0)
         total = {k: materialise(f if f is not None else nothing, "facts") for k, f in start.items()}
         new = dict(total)
+        narrow = sum(len(set(rule.body(k, at)) & inside) for k, rule, at in later) == 1
         for turn in range(ROUNDS):
             new = {k: f for k, f in new.items() if not f.isEmpty()}
             if not new:
                 break
             found: dict[Key, list[DataFrame]] = {}
-            for k, rule, at in later:
-                for b in dict.fromkeys(rule.body(k, at)):
-                    if b in new:
-                        found.setdefault(k, []).append(self.derive(rule, k, at, self.known | total, changed=(b, new[b])))
+            step = new
+            for _ in range(HOPS if narrow else 1):  # a round of a narrow recursion takes several steps before it is written
+                after: dict[Key, list[DataFrame]] = {}
+                for k, rule, at in later:
+                    for b in dict.fromkeys(rule.body(k, at)):
+                        if b in step:
+                            after.setdefault(k, []).append(self.derive(rule, k, at, self.known | total, changed=(b, step[b])))
+                step = {k: union(parts) for k, parts in after.items()}
+                for k, f in step.items():
+                    found.setdefault(k, []).append(f)
             new = {k: materialise(union(parts).join(total[k], "ind", "left_anti"), "facts") for k, parts in found.items()}
             total = {k: total[k].union(new[k]) if k in new else total[k] for k in total}
             if turn % COMPACT == COMPACT - 1:  # one table again, so that plans stay small on long chains

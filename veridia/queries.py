@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridia.functions.domains import between, value_concept
-from veridia.functions.workload import chain
+from veridia.functions.workload import case_chain, chain
 from veridia.kb import KnowledgeBase
-from veridia.plans.terms import TOP, Access, And, Axioms, Not, Or, atleast, atmost, atom, inv, only, some
+from veridia.plans.terms import BOTTOM, TOP, Access, And, Axioms, Not, Or, atleast, atmost, atom, inv, only, some
+from veridia.sources import dig, tst
+from veridia.sources.access import retrieval
+from veridia.storage import new_path
 
 #: name: (table, subject, object, condition)
 ROLES = {
@@ -404,3 +407,182 @@ def value_range(spark, sf_dir):
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     value_concept(kb, "Middling", customer, F.concat(F.lit("c:"), F.col("c_custkey").cast("string")), between(F.col("c_acctbal"), 1000, 5000))
     return kb.instances(Not(atom("Middling")))
+
+
+# ---- ground atoms, products, tests -----------------------------------------------------------------
+
+
+@query(f"SELECT ind AS s FROM {C('Stocked')} WHERE EXISTS (SELECT 1 FROM {R('inRegion')} WHERE s = 'n:1' AND o = 'r:1')")
+def conjunctive_ground(spark, sf_dir):
+    return base(spark, sf_dir, "Stocked", "inRegion").query(["?s"], [("inRegion", "n:1", "r:1"), ("Stocked", "?s")])
+
+
+@query(f"SELECT a.ind AS a, b.s AS b FROM {C('Lead')} a, {R('inRegion')} b WHERE b.o = 'r:2'")
+def conjunctive_product(spark, sf_dir):
+    """Two answer variables that nothing connects."""
+    return base(spark, sf_dir, "Lead", "inRegion").query(["?a", "?b"], [("Lead", "?a"), ("inRegion", "?b", "r:2")])
+
+
+@query(f"SELECT s AS n FROM {R('inRegion')} WHERE EXISTS (SELECT 1 FROM {C('Lead')} l JOIN {C('Stocked')} k ON l.ind = k.ind)")
+def conjunctive_unshared(spark, sf_dir):
+    """A committed sub-goal that shares no variable with the answer."""
+    kb = base(spark, sf_dir, "inRegion", "Lead", "Stocked")
+    return kb.query(["?n"], [("inRegion", "?n", "?r")], exists=[("Lead", "?z"), ("Stocked", "?z")])
+
+
+@query(f"SELECT count(*) > 0 AS result FROM {C('Urgent')} u JOIN {R('placed')} p ON p.o = u.ind JOIN {C('Wealthy')} w ON w.ind = p.s")
+def conjunctive_boolean(spark, sf_dir):
+    return base(spark, sf_dir, "Urgent", "placed", "Wealthy").query([], [("Urgent", "?o"), ("placed", "?c", "?o"), ("Wealthy", "?c")])
+
+
+@query(f"SELECT DISTINCT 'at most 0 y: hasItemFrom(x, y)' AS what, s AS ind FROM {R('hasItemFrom')}")
+def inconsistency_bottom(spark, sf_dir):
+    """What has an item from someone can't exist."""
+    return base(spark, sf_dir, "hasItemFrom").tell(Axioms().implies(some("hasItemFrom"), BOTTOM)).inconsistencies()
+
+
+# ---- sources ---------------------------------------------------------------------------------------
+
+
+def _views(spark, sf_dir, *tables):
+    for t in tables:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"veridia_{t}")
+
+
+@query("SELECT DISTINCT CAST(r_regionkey AS VARCHAR) AS ind FROM region")
+def table_concept(spark, sf_dir):
+    _views(spark, sf_dir, "region")
+    return KnowledgeBase(spark).bind(Access("Region", 1, table=("veridia_region", "r_regionkey"))).instances("Region")
+
+
+@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS s, CAST(c_nationkey AS VARCHAR) AS o FROM customer WHERE c_acctbal > 5000")
+def query_role(spark, sf_dir):
+    _views(spark, sf_dir, "customer")
+    return KnowledgeBase(spark).bind(Access("livesIn", 2, query="SELECT c_custkey, c_nationkey FROM veridia_customer WHERE c_acctbal > 5000")).related("livesIn")
+
+
+@query("SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS ind FROM supplier WHERE s_suppkey = 3")
+def four_queries(spark, sf_dir):
+    """A role with a query for each binding pattern; one serves all."""
+    _views(spark, sf_dir, "supplier")
+    free = "SELECT s_suppkey, s_nationkey FROM veridia_supplier"
+    found = retrieval(f"{free} WHERE s_suppkey = ? AND s_nationkey = ?", f"{free} WHERE s_suppkey = ?", f"{free} WHERE s_nationkey = ?", free)
+    return KnowledgeBase(spark).bind(Access("sits", 2, query=found)).fillers("3", "sits")
+
+
+TERM_FILE = """
+% orders that are done, and those that aren't, from two queries; customers with a done order are served
+dbConnection(db, source).
+dbAccess('Done'/1, db, query('SELECT concat("o:", o_orderkey) FROM veridia_orders WHERE o_orderstatus = "F"')).
+dbAccess(not('Done')/1, db, query('SELECT concat("o:", o_orderkey) FROM veridia_orders WHERE o_orderstatus = "O"')).
+dbAccess(placed/2, db, query('SELECT concat("c:", o_custkey), concat("o:", o_orderkey) FROM veridia_orders')).
+equiv(and([some(arole(placed), aconcept('Done'))]), aconcept('Served')).
+implies(aconcept('Closed'), aconcept('Done')).
+"""
+
+
+@query(f"SELECT DISTINCT s AS ind FROM {R('placed')} WHERE o IN (SELECT ind FROM {C('Fulfilled')})")
+def term_file(spark, sf_dir):
+    _views(spark, sf_dir, "orders")
+    return KnowledgeBase(spark).tell(tst.parse(TERM_FILE).axioms).instances("Served")
+
+
+@query(f"SELECT ind FROM {C('Open')}")
+def query_pair(spark, sf_dir):
+    """The negative one of a pair of accesses, through an inclusion."""
+    _views(spark, sf_dir, "orders")
+    return KnowledgeBase(spark).tell(tst.parse(TERM_FILE).axioms).instances(Not(atom("Closed")))
+
+
+XML_TELLS = """<tells xmlns="http://dl.kr.org/dig/2003/02/lang"><defconcept name="Big"/><defrole name="placed"/><deffeature name="customerIn"/>
+<impliesc><some><feature name="customerIn"/><catom name="Target"/></some><catom name="Local"/></impliesc>
+<impliesc><and><catom name="Local"/><some><ratom name="placed"/><catom name="Urgent"/></some></and><catom name="Big"/></impliesc>
+<range><feature name="customerIn"/><catom name="Land"/></range><equalr><ratom name="placedBy"/><inverse><ratom name="placed"/></inverse></equalr></tells>"""
+
+
+@query(
+    f"SELECT DISTINCT p.s AS ind FROM {R('placed')} p JOIN {R('customerIn')} c ON c.s = p.s "
+    f"WHERE p.o IN (SELECT ind FROM {C('Urgent')}) AND c.o IN (SELECT ind FROM {C('Target')})"
+)
+def xml_request(spark, sf_dir):
+    kb = base(spark, sf_dir, "placed", "customerIn", "Urgent", "Target")
+    return kb.tell(dig.parse(XML_TELLS).axioms).instances("Big")
+
+
+@query(f"SELECT s AS ind FROM {R('customerIn')} WHERE o IN (SELECT ind FROM {C('Target')})")
+def feature_exists(spark, sf_dir):
+    return base(spark, sf_dir, "customerIn", "Target").tell(dig.parse(XML_TELLS).axioms).instances("Local")
+
+
+@query(f"SELECT DISTINCT o AS ind FROM {R('customerIn')}")
+def xml_answers(spark, sf_dir):
+    """The answer document of a request, read back."""
+    import xml.etree.ElementTree as ET
+
+    kb = base(spark, sf_dir, "customerIn", "placed", "Urgent", "Target")
+    dig.execute(kb, XML_TELLS)
+    told = ET.fromstring(dig.execute(kb, '<asks xmlns="http://dl.kr.org/dig/2003/02/lang"><instances id="q"><catom name="Land"/></instances></asks>'))
+    names = [e.get("name") for e in told.iter() if e.tag.rsplit("}", 1)[-1] == "individual"]
+    return spark.createDataFrame([(n,) for n in names], "ind string")
+
+
+@query(f"SELECT DISTINCT s AS ind FROM {R('placed')} WHERE o IN (SELECT ind FROM {C('Urgent')})")
+def written_terms(spark, sf_dir):
+    """Axioms written as a request, read, written as a term file and read again."""
+    told = Axioms().implies(some("placed", atom("Urgent")), atom("Rushed")).disjoint(atom("Rushed"), atom("Calm"))
+    again = tst.parse(tst.write(dig.parse(dig.write_tells(told)).axioms)).axioms
+    return base(spark, sf_dir, "placed", "Urgent").tell(again).instances("Rushed")
+
+
+@query("SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS a, CAST(r_regionkey AS VARCHAR) AS b FROM nation, region WHERE n_regionkey = r_regionkey")
+def two_connections(spark, sf_dir):
+    """Two databases with one table name."""
+    read = lambda table: lambda s, name, query: s.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr("*", "1 as one")
+    kb = KnowledgeBase(spark).connect("lands", read("nation")).connect("parts", read("region"))
+    kb.bind(Access("Land", 1, table=("main", "n_nationkey"), connection="lands")).bind(Access("Part", 1, table=("main", "r_regionkey"), connection="parts"))
+    kb.bind(Access("of", 2, table=("main", "n_nationkey", "n_regionkey"), connection="lands"))
+    return kb.query(["?a", "?b"], [("Land", "?a"), ("of", "?a", "?b"), ("Part", "?b")])
+
+
+@query(f"SELECT o AS value FROM {R('customerIn')} WHERE s = 'c:2'")
+def told_values(spark, sf_dir):
+    return base(spark, sf_dir, "customerIn").told_values("c:2", "customerIn")
+
+
+@query(f"SELECT 'Urgent' AS pred, ind FROM {C('Urgent')} UNION SELECT 'Rushed', ind FROM {C('Urgent')}")
+def materialised(spark, sf_dir):
+    """What is entailed, written by predicate and read back."""
+    kb, path = base(spark, sf_dir, "Urgent").tell(Axioms().implies(atom("Urgent"), atom("Rushed"))), new_path(spark, "entailed")
+    kb.materialise(path, ["Urgent", "Rushed"], [])
+    return spark.read.parquet(f"{path}/concepts").select("pred", "ind")
+
+
+@query(f"SELECT 0 AS ask, ind FROM {C('Lead')} UNION SELECT 2, s FROM {R('inRegion')} WHERE o = 'r:1'")
+def batch_of_asks(spark, sf_dir):
+    """Several asks at once; the one that can't be answered doesn't stop the others."""
+    kb = base(spark, sf_dir, "Lead", "inRegion")
+    asks = [lambda k: k.instances("Lead"), lambda k: k.query(["?x"], [("Lead", "?y")]), lambda k: k.fillers("r:1", inv("inRegion"))]
+    found = [(i, a) for i, a in enumerate(kb.ask_all(asks)) if isinstance(a, DataFrame)]
+    parts = [a.select(F.lit(i).alias("ask"), "ind") for i, a in found]
+    return parts[0].union(parts[1])
+
+
+@query("SELECT * FROM (VALUES ('in', 'near'), ('in', 'linked'), ('near', 'linked')) t(below, above)")
+def role_taxonomy(spark, sf_dir):
+    kb = KnowledgeBase(spark).tell(Axioms().subrole("in", "near").subrole("near", "linked").equal_roles("linked", inv("links")))
+    rows = [(r, s[0]) for r in ("in", "near", "linked") for s in kb.role_ancestors(r) if not s[1] and s[0] != "links"]
+    return spark.createDataFrame(rows, "below string, above string")
+
+
+CHAIN = 1000
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT i FROM range(1, {CHAIN + 1}) t(i)), r AS (SELECT 1 AS i UNION SELECT r.i + 1 FROM r JOIN e ON e.i = r.i + 1) "
+    f"SELECT 'root' AS ind FROM r WHERE i = {CHAIN}"
+)
+def case_split_generated(spark, sf_dir):
+    """The chain family at size: whoever is inside at its begin and outside at its end has left somewhere."""
+    edges = case_chain(spark, CHAIN)
+    told = Axioms().equal(atom("Split"), some("child", And(atom("In"), some("child", Not(atom("In"))))))
+    return KnowledgeBase(spark).role("child", edges).tell(told.fact(atom("In"), "i1").fact(Not(atom("In")), f"i{CHAIN}")).instances("Split")

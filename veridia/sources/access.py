@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,20 +29,36 @@ def retrieval(*queries: str) -> str:
     return free[0]
 
 
-def _frame(spark: SparkSession, a: Access) -> DataFrame:
+#: What a connection name stands for: a function of (session, table or None, query or None).
+Reader = Callable[[SparkSession, str | None, str | None], DataFrame]
+
+
+def jdbc_connection(url: str, **options: str) -> Reader:
+    """Tables and queries of another database; filters on their columns are pushed down."""
+
+    def read(spark: SparkSession, table: str | None, query: str | None) -> DataFrame:
+        return spark.read.format("jdbc").options(url=url, **({"query": query} if query else {"dbtable": table}), **options).load()
+
+    return read
+
+
+def _frame(spark: SparkSession, a: Access, reader: Reader | None = None) -> DataFrame:
     validate(a)
+    if reader is not None:
+        df = reader(spark, a.table[0] if a.table else None, a.query)
+        return df.select(*a.table[1:]) if a.table else df
     if a.query:
         return spark.sql(a.query)
     return spark.table(a.table[0]).select(*a.table[1:])
 
 
-def read_concept(spark: SparkSession, a: Access) -> DataFrame:
-    df = _frame(spark, a)
+def read_concept(spark: SparkSession, a: Access, reader: Reader | None = None) -> DataFrame:
+    df = _frame(spark, a, reader)
     return df.select(F.col(df.columns[0]).cast("string").alias("ind")).distinct()
 
 
-def read_role(spark: SparkSession, a: Access) -> DataFrame:
-    df = _frame(spark, a)
+def read_role(spark: SparkSession, a: Access, reader: Reader | None = None) -> DataFrame:
+    df = _frame(spark, a, reader)
     s, o = df.columns[:2]
     return df.select(F.col(s).cast("string").alias("s"), F.col(o).cast("string").alias("o")).distinct()
 
