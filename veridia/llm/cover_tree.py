@@ -40,7 +40,7 @@ THRESHOLD = 0.93
 BLOCK = 2048
 #: Children of a node at most, and members from among which they are chosen.
 FANOUT, CANDIDATES = 64, 256
-LEAF = 12
+LEAF = 96
 #: Slack for rounding where a bound, not the cosine itself, decides.
 EPSILON = 1e-9
 
