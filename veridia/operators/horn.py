@@ -2,7 +2,8 @@
 
 Keys are evaluated in the order of their dependencies.  A key that doesn't depend on itself is a lazy
 plan; keys that depend on each other run a semi-naive loop in which each round joins only the facts
-that were new in the last one, and ends its lineage in a written table.
+that were new in the last one, and ends its lineage in a written table; where a count shows that they
+read few rows, one task runs all rounds (`local`).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from veridia.plans.program import Key, Program, Rule
 from veridia.storage import materialise
 
+from .local import gathered
 from .roles import Roles
 
 ROUNDS = 10_000
@@ -112,6 +114,8 @@ class Horn:
             return
         nothing = self.individuals().limit(0)
         total = {k: materialise(f if f is not None else nothing, "facts") for k, f in start.items()}
+        if self._few(part, later, total):
+            return
         new = dict(total)
         narrow = sum(len(set(rule.body(k, at)) & inside) for k, rule, at in later) == 1
         for turn in range(ROUNDS):
@@ -137,6 +141,17 @@ class Horn:
             raise RuntimeError(f"no fixpoint in {ROUNDS} rounds")
         self.known |= total
 
+    def _few(self, part: list[Key], later: list[tuple[Key, Rule, str]], total: dict[Key, DataFrame]) -> bool:
+        """Evaluates the part in one task if it reads few rows."""
+        given = {b: self.known[b] for k, rule, at in later for b in rule.body(k, at) if b not in total}
+        pairs = {rule.modal[1]: self.roles.edges(rule.modal[1]) for _, rule, _ in later if rule.modal}
+        found = gathered(later, total, given, pairs)
+        if found is None:
+            return False
+        found = materialise(found, "facts")
+        self.known |= {k: found.where(F.col("k") == i).select("ind") for i, k in enumerate(total)}
+        return True
+
     def derive(self, rule: Rule, head: Key, at: str, known: dict[Key, DataFrame], changed: tuple[Key, DataFrame] | None = None) -> DataFrame:
         """New instances of the head; changed: one key whose facts are replaced by its new ones. Counts need all facts."""
 

@@ -18,6 +18,7 @@ from veridia.storage import materialise
 
 from .components import connected_components
 from .horn import Horn
+from .local import SMALL
 
 
 class Solver:
@@ -239,7 +240,7 @@ def refute(goal: Key, rules: list[Rule], horn: Horn) -> tuple[DataFrame | None,
     atom = lambda x: F.xxhash64(x["pred"], x["ind"])
     atoms = clauses.select("cid", F.transform(F.concat("lits", "counted"), atom).alias("atoms"))
     edges = atoms.select(F.col("atoms")[0].alias("u"), F.explode("atoms").alias("v"))
-    parts = connected_components(edges)
+    parts = connected_components(edges, small=SMALL)
     placed = clauses.withColumn("node", atom(F.concat("lits", "counted")[0])).join(parts, "node", "left")
     placed = placed.select(F.coalesce("component", "node").alias("component"), "lits", "counted", "bound")
     goal_name, goal_pos = goal
