@@ -282,3 +282,32 @@ def test_stream_keeps_answers_up_to_date(spark, tmp_path):
     run()
     found = spark.read.parquet(str(tmp_path / "answers"))
     assert names(found.where("batch = 0").select("ind")) == ["c"] and names(found.where("batch = 1").select("ind")) == ["a", "b", "c"]
+
+
+def test_fillers_follow_one_individual(spark):
+    """From one end of transitive roles, below others and inverted, with cycles; the same as the pairs that start there."""
+    told = Axioms().subrole("next", "after").trans("after").subrole("after", "linked").subrole(inv("back"), "after")
+    for s, o in (("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")):
+        told.related(s, "next", o)
+    told.related("d", "back", "c").related("d", "linked", "x")
+    k = kb(spark, told)
+    for r in ("next", "after", "linked", inv("after"), inv("linked"), "back", "unknown"):
+        pairs = [tuple(p) for p in k.related(r).collect()]
+        for i in ("a", "c", "d", "x", "y", "nobody"):
+            assert names(k.fillers(i, r)) == sorted(o for s, o in pairs if s == i)
+    assert names(k.query(["?o"], [("after", "a", "?o")])) == ["a", "b", "c", "d"]
+    assert names(k.query(["?s"], [("after", "?s", "d")])) == ["a", "b", "c"]
+    assert [r.result for r in k.query([], [("after", "b", "d")]).collect()] == [True]
+    assert [r.result for r in k.query([], [("after", "d", "b")]).collect()] == [False]
+    assert names(k.reached(spark.createDataFrame([("x",), ("d",)], "ind string"), "linked")) == ["x", "y"]
+
+
+def test_snapshots_stay_as_they_were(spark):
+    k = kb(spark, Axioms().implies(atom("A"), atom("B")).fact(atom("A"), "x"))
+    old = k.snapshot()
+    k.tell(Axioms().implies(atom("C"), atom("B")).fact(atom("C"), "y"))
+    k.concept("A", spark.createDataFrame([("z",)], "ind string"))
+    assert names(k.instances("B")) == ["x", "y", "z"]
+    assert names(old.instances("B")) == ["x"]
+    old.tell(Axioms().fact(atom("A"), "w"))
+    assert names(old.instances("B")) == ["w", "x"] and names(k.instances("B")) == ["x", "y", "z"]

@@ -18,11 +18,12 @@ from veridia.operators.horn import Horn, union
 from veridia.operators.refute import refute
 from veridia.operators.roles import Roles
 from veridia.plans.program import Key, Program
-from veridia.plans.terms import BOTTOM, TOP, Access, And, Axioms, Concept, DLError, InconsistentTBox, Not, Role, atom, role
+from veridia.plans.terms import BOTTOM, TOP, Access, And, Axioms, Concept, DLError, InconsistentTBox, Not, Role, atom, inv, only, role
 from veridia.sources.access import Reader, read_concept, read_role
 
 log = logging.getLogger(__name__)
 ASKED = "_asked"
+SEED, REACHED = "_seed", "_reached"
 #: Answers of a query whose variables nothing connects, at most.
 MOST_PRODUCT = 10_000_000_000
 
@@ -46,6 +47,15 @@ class KnowledgeBase:
         self._roles: dict[str, list[DataFrame]] = {}
         self._forget()
 
+    def snapshot(self, name: str | None = None) -> KnowledgeBase:
+        """A copy that answers from what is told and bound now, whatever either of the two is told later."""
+        out = KnowledgeBase(self.spark, name or self.name)
+        out.connections, out._catalog = dict(self.connections), self._catalog
+        out.axioms.merge(self.axioms)
+        out._concepts = {k: list(v) for k, v in self._concepts.items()}
+        out._roles = {k: list(v) for k, v in self._roles.items()}
+        return out
+
     def _forget(self) -> None:
         self._programs: dict[Concept | None, Program] = {}
         self._told: tuple | None = None
@@ -186,8 +196,21 @@ class KnowledgeBase:
         return found if found is not None else self.spark.createDataFrame([], "s string, o string")
 
     def fillers(self, i: str, r: Role | str) -> DataFrame:
-        """Individuals (ind) that i is linked to by the role."""
-        return self.related(r).where(F.col("s") == i).select(F.col("o").alias("ind")).distinct()
+        """Individuals (ind) that i is linked to by the role. Without transitive roles a filter, which reaches the sources."""
+        r = role(r) if isinstance(r, str) else r
+        box = self.program().box
+        if not any(s in box.transitive for s in box.subs(r) | {r}):
+            return self.related(r).where(F.col("s") == i).select(F.col("o").alias("ind")).distinct()
+        return self.reached(self.spark.createDataFrame([(i,)], "ind string"), r)
+
+    def reached(self, seeds: DataFrame, r: Role | str) -> DataFrame:
+        """Individuals (ind) that some of seeds (ind) is linked to by the role. Of a transitive role only what the seeds
+        reach is derived, by a recursion over individuals, and not all pairs."""
+        r = role(r) if isinstance(r, str) else r
+        self.program()  # an error if the axioms allow no individual, as for other questions
+        program = Program(Axioms(roles=self.axioms.roles, transitive=self.axioms.transitive).implies(atom(SEED), only(r, atom(REACHED))))
+        found = Horn(program, {(SEED, True): seeds}, Roles(self._stored()[1], program.box), self.individuals).facts((REACHED, True))
+        return self.spark.createDataFrame([], "ind string") if found is None else found.distinct()
 
     def query(self, answer: Iterable[str], atoms: Iterable[tuple], exists: Iterable[tuple] = ()) -> DataFrame:
         """Conjunctive query. An atom is (concept, term) or (role, term, term); terms that start with
@@ -253,7 +276,12 @@ class KnowledgeBase:
         """Atoms as DataFrames, by the variables that connect them: (names, parts); a ground atom stands alone."""
         out: list[tuple[set[str], list[DataFrame]]] = []
         for what, *terms in atoms:
-            df = self.instances(what) if len(terms) == 1 else self.related(what)
+            if len(terms) == 2 and not variable(terms[0]):
+                df = self.fillers(terms[0], what).select(F.lit(terms[0]).alias("s"), F.col("ind").alias("o"))
+            elif len(terms) == 2 and not variable(terms[1]):
+                df = self.fillers(terms[1], inv(what)).select(F.col("ind").alias("s"), F.lit(terms[1]).alias("o"))
+            else:
+                df = self.instances(what) if len(terms) == 1 else self.related(what)
             columns = df.columns
             for column, t in zip(columns, terms):
                 if not variable(t):

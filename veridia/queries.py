@@ -264,6 +264,19 @@ def transitive_closure(spark, sf_dir):
     return base(spark, sf_dir, "nextNation").tell(Axioms().trans("nextNation")).related("nextNation")
 
 
+@query(f"{REACH} SELECT o AS ind FROM r WHERE s = 'n:3'")
+def transitive_fillers(spark, sf_dir):
+    """From one end, below another role: no other pair is derived."""
+    kb = base(spark, sf_dir, "nextNation")
+    return kb.tell(Axioms().subrole("nextNation", "before").trans("before").subrole("before", "linked")).fillers("n:3", "linked")
+
+
+@query(f"{REACH} SELECT DISTINCT r.s AS x FROM r JOIN {C('Start')} t ON r.s = t.ind WHERE r.o = 'n:20'")
+def transitive_bound_end(spark, sf_dir):
+    kb = base(spark, sf_dir, "nextNation", "Start")
+    return kb.tell(Axioms().trans("nextNation")).query(["?x"], [("nextNation", "?x", "n:20"), ("Start", "?x")])
+
+
 @query(f"{REACH} SELECT DISTINCT s AS ind FROM r WHERE o IN (SELECT ind FROM {C('Target')})")
 def transitive_reach(spark, sf_dir):
     kb = base(spark, sf_dir, "nextNation", "Target")
