@@ -80,6 +80,30 @@ def test_spans_of_mixed_text(spark, docs):
     assert abs(spans[0][1] - len(a)) < 12
 
 
+def test_long_texts_by_portions(monkeypatch):
+    """Portions, long words among them, give the labels and spans of the whole text."""
+    rng = np.random.default_rng(5)
+    langs = ["aa", "bb", "cc"]
+    log_p = np.log(rng.dirichlet(np.ones(3), lang_id.BUCKETS)).astype(np.float32)
+    model = lang_id.Model(langs, log_p, np.ones((len(lang_id.SCRIPT_NAMES), 3), bool))
+    letters, gaps = list("abcdefghiéßжд漢字İ"), [" ", "\n", ", ", "-", "7", "\u2003"]
+    texts = ["", "12 34", "x" * 500, "漢" * 700 + "。" + "字" * 300]
+    for n in (1, 7, 200, 900):
+        texts.append("".join("".join(rng.choice(letters, int(rng.integers(1, 9)))) + str(rng.choice(gaps)) for _ in range(n)))
+    whole = lang_id.label_texts(texts, model, 3.0)
+    assert any(len(spans) > 5 for _, _, spans in whole)
+    monkeypatch.setattr(lang_id, "PART", 50)
+    for x in texts:
+        cuts = list(lang_id.portions(x))
+        assert "".join(x[a:b] for a, b in cuts) == x
+        assert all(not (x[b - 1].isalpha() and x[b].isalpha()) for _, b in cuts[:-1])
+    monkeypatch.setattr(lang_id, "LONG", 100)
+    by_parts = lang_id.label_texts(texts, model, 3.0)
+    assert [(k, spans) for k, _, spans in by_parts] == [(k, spans) for k, _, spans in whole]
+    assert [s for _, s, _ in by_parts] == pytest.approx([s for _, s, _ in whole])
+    assert lang_id.label_long("", model) == lang_id.label_long("1 2", model) == ("und", 0.0, [])
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     lengths = [1, 4, 6, 0, 3]

@@ -31,6 +31,8 @@ SWITCH_PENALTY = 12.0
 TRAIN_ROWS_A_LANGUAGE = 4000
 #: Characters whose letter windows, and whose words, are worked on at once.
 PART, TOGETHER = 1 << 18, 6 << 20
+#: A text of more characters is worked on in portions of about PART characters; its labels are the same.
+LONG = 1 << 20
 #: The model is BUCKETS numbers for each language and is broadcast; with more languages `learn` raises an error.
 MOST_LANGUAGES = 2_000
 #: Texts in which no language holds so much of the letters are rejected as filters go.
@@ -95,6 +97,20 @@ def find_words(texts: list[str | None]) -> Words:
     return Words(codes, windows, first, last, script[codes[first]] if len(first) else np.zeros(0, np.uint8), np.searchsorted(first, offset), offset)
 
 
+def portions(text: str, most: int | None = None):
+    """(from, to) of pieces of a text of about `most` characters, cut after white space, or where there is none
+    for as many characters again, before a character that isn't a letter, so that no word is cut."""
+    most, start = most or PART, 0
+    while len(text) - start > most:
+        end = start + most
+        near = next((k + 1 for k in range(end, min(end + most, len(text))) if text[k].isspace()), None)
+        end = near or next((k for k in range(end, len(text)) if not text[k].isalpha()), len(text))
+        yield start, end
+        start = end
+    if start < len(text):
+        yield start, len(text)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -103,10 +119,18 @@ class Model:
 
     def scores(self, w: Words) -> np.ndarray:
         """words x languages; -inf for a language that the word's script rules out."""
-        if not len(w.first):
-            return np.zeros((0, len(self.langs)), np.float32)
-        total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.log_p[w.windows], axis=0, dtype=np.float64)])
-        out = (total[w.last] - total[w.first]).astype(np.float32)
+        out, a = np.zeros((len(w.first), len(self.langs)), np.float32), 0
+        while a < len(out):  # words of about PART characters together; a longer word by pieces
+            start = int(w.first[a])
+            b = max(a + 1, int(np.searchsorted(w.last, start + PART, side="right")))
+            if w.last[b - 1] - start > PART:
+                pieces = range(start, int(w.last[a]), PART)
+                out[a] = sum(self.log_p[w.windows[x : min(x + PART, int(w.last[a]))]].sum(axis=0, dtype=np.float64) for x in pieces)
+            else:
+                total = np.zeros((int(w.last[b - 1]) - start + 1, len(self.langs)))
+                np.cumsum(self.log_p[w.windows[start : w.last[b - 1]]], axis=0, dtype=np.float64, out=total[1:])
+                out[a:b] = total[w.last[a:b] - start] - total[w.first[a:b] - start]
+            a = b
         can = self.allowed[w.script]
         return np.where(can | ~can.any(axis=1, keepdims=True), np.where(can, out, 0), -np.inf).astype(np.float32)
 
@@ -164,9 +188,10 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         number = {k: i for i, k in enumerate(langs)}
         for batch in batches:
             lang, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(text, 1 << 20):
-                w = find_words(text[a:b])
-                which = np.repeat(np.array([number[x] for x in lang[a:b]]), np.diff(w.offset))
+            cut = [(k, x[a:b]) for k, x in zip(lang, text) for a, b in portions(x, LONG)]
+            for a, b in slices([x for _, x in cut], LONG):
+                w = find_words([x for _, x in cut[a:b]])
+                which = np.repeat(np.array([number[k] for k, _ in cut[a:b]]), np.diff(w.offset))
                 letter, script = _letters()
                 inside = letter[w.codes]
                 np.add.at(total, (which[inside], w.windows[inside]), 1)
@@ -185,8 +210,59 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     return Model(langs, np.ascontiguousarray(np.log(p).T, dtype=np.float32), np.ascontiguousarray(allowed.T))
 
 
+def label_long(text: str, model: Model, penalty: float = SWITCH_PENALTY) -> tuple[str, float, list[tuple[int, int, str]]]:
+    """What label_texts finds, with the scores of one portion of the text at a time; of each word stay its place, the best
+    language before it and a bit for each language: whether a path stays in it."""
+    firsts, lasts, tops, stays, best = [], [], [], [], np.zeros(len(model.langs), np.float32)
+    done = 0
+    for a, b in portions(text):
+        w = find_words([text[a:b]])
+        scores = model.scores(w)
+        top, stay = np.zeros(len(scores), np.int16), np.ones(scores.shape, bool)
+        for i in range(len(scores)):
+            if done:
+                top[i] = best.argmax()
+                jump = best[top[i]] - np.float32(penalty)
+                stay[i] = best >= jump
+                np.maximum(best, jump, out=best)
+            best += scores[i]
+            if done % 64 == 0:
+                best -= best.max()
+            done += 1
+        firsts.append(w.first + a)
+        lasts.append(w.last + a)
+        tops.append(top)
+        stays.append(np.packbits(stay, axis=1))
+    if not model.langs or not done:
+        return UNKNOWN, 0.0, []
+    label, state, at = np.empty(done, np.int16), int(best.argmax()), done
+    for top, packed in zip(reversed(tops), reversed(stays)):
+        stay = np.unpackbits(packed, axis=1, count=len(model.langs))
+        for i in range(len(top) - 1, -1, -1):
+            at -= 1
+            label[at] = state
+            if not stay[i, state]:
+                state = int(top[i])
+    return _summary(label, np.concatenate(firsts), np.concatenate(lasts), model)
+
+
+def _summary(label: np.ndarray, first: np.ndarray, last: np.ndarray, model: Model) -> tuple[str, float, list[tuple[int, int, str]]]:
+    """The language, score and spans of one text from the languages of its words."""
+    runs = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)]
+    spans = [(int(first[x]), int(last[y - 1]), model.langs[label[x]]) for x, y in zip(runs, runs[1:])]
+    share = np.bincount(label, weights=last - first, minlength=len(model.langs))
+    k = int(share.argmax())
+    return model.langs[k], float(share[k] / share.sum()), spans
+
+
 def label_texts(texts: list[str | None], model: Model, penalty: float = SWITCH_PENALTY) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """For each text its language, score and spans (from, to, language; code points)."""
+    long = [i for i, x in enumerate(texts) if x and len(x) > LONG]
+    if long:
+        out = label_texts([None if x and len(x) > LONG else x for x in texts], model, penalty)
+        for i in long:
+            out[i] = label_long(texts[i], model, penalty)
+        return out
     scores, first, last, starts, offset, base = [np.zeros((0, len(model.langs)), np.float32)], [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)], 0
     for a, b in slices(texts, PART):  # the buffers of a part, many bytes for each character, go before the next one's come
         w = find_words(texts[a:b])
@@ -201,20 +277,10 @@ def label_texts(texts: list[str | None], model: Model, penalty: float = SWITCH_P
     if not model.langs or not len(first):
         return [(UNKNOWN, 0.0, [])] * len(texts)
     label = viterbi(scores, at, penalty)
-    letters = last - first
     out = []
     for i in range(len(texts)):
         a, b = at[i], at[i + 1]
-        if a == b:
-            out.append((UNKNOWN, 0.0, []))
-            continue
-        own = label[a:b]
-        cut = np.flatnonzero(np.diff(own)) + 1
-        runs = [0, *cut.tolist(), b - a]
-        spans = [(int(first[a + x] - offset[i]), int(last[a + y - 1] - offset[i]), model.langs[own[x]]) for x, y in zip(runs, runs[1:])]
-        share = np.bincount(own, weights=letters[a:b], minlength=len(model.langs))
-        k = int(share.argmax())
-        out.append((model.langs[k], float(share[k] / share.sum()), spans))
+        out.append(_summary(label[a:b], first[a:b] - offset[i], last[a:b] - offset[i], model) if a < b else (UNKNOWN, 0.0, []))
     return out
 
 
