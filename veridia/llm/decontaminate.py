@@ -30,6 +30,8 @@ WINDOW = 10
 SHINGLE = 5
 BROADCAST_SHINGLES = 500_000
 SHA = "decontaminate_sha"
+#: Keys that the places of one shingle are spread over where they meet the windows.
+SALTS = 8
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -96,7 +98,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     prefix = offset.groupBy("item", "win").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "offset")).alias("rarest")).where("rarest.df > 0")
     prefix = prefix.select("item", "win", F.size("win").alias("len"), F.col("rarest.h").alias("h"), F.col("rarest.offset").alias("offset"))
     start = F.col("pos") - F.col("offset")
-    bounded = found.join(prefix, "h").where((start >= 0) & (start + F.col("len") <= F.col("n")))
+    # a common word that is an item has places in many documents: they are spread over SALTS keys
+    salted = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    bounded = found.withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS))).join(salted, ["h", "salt"]).where((start >= 0) & (start + F.col("len") <= F.col("n")))
     low = F.greatest(F.col("pos") - window, F.lit(0))
     exact = bounded.where(F.slice("around", start - low + 1, F.col("len")) == F.col("win"))
     span = F.struct(start.alias("from"), (start + F.col("len")).alias("to"))
