@@ -30,7 +30,7 @@ SWITCH_PENALTY = 12.0
 #: At most about so many labelled rows of each language are learned from; a documented bound.
 TRAIN_ROWS_A_LANGUAGE = 4000
 #: Characters whose letter windows, and whose words, are worked on at once.
-PART, TOGETHER = 1 << 18, 6 << 20
+PART, TOGETHER = 1 << 18, 2 << 20
 #: A text of more characters is worked on in portions of about PART characters; its labels are the same.
 LONG = 1 << 20
 #: The model is BUCKETS numbers for each language and is broadcast; with more languages `learn` raises an error.
